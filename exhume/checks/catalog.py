@@ -1,4 +1,4 @@
 """All registered queries and oracles."""
 
-from exhume.checks import text_search  # noqa: F401
+from exhume.checks import recovered_files, text_search  # noqa: F401
 from exhume.checks.fixtures import ORACLES, QUERIES  # noqa: F401

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from exhume.functions.text import base_name
 
@@ -28,13 +29,13 @@ _FROM = ARABIC_DIGITS + EXTENDED_ARABIC_DIGITS + DOT_LOOKALIKES + INVISIBLE
 _TO = "0123456789" * 2 + "." * len(DOT_LOOKALIKES)  # translate() drops what has no partner
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(names: pd.Series) -> pd.Series:
     """Canonical composition; called with null for ASCII names."""
     return names.map(lambda n: unicodedata.normalize("NFC", n), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_case(names: pd.Series) -> pd.Series:
     """Full case folding (``lower`` keeps letters such as sharp s)."""
     return names.map(str.casefold, na_action="ignore")
