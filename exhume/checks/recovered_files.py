@@ -106,8 +106,7 @@ isl AS (SELECT sub_pos, min(n) AS lo, max(n) AS hi FROM (SELECT *, n - row_numbe
 SELECT sub_pos, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE concat(CAST(lo AS VARCHAR), '-', CAST(hi AS VARCHAR)) END, ',' ORDER BY lo) AS ranges FROM isl GROUP BY sub_pos""")
 def _(spark, d):
     sub, _gt = frames(spark, d)
-    merged = B.block_set(B.token_ranges(B.parse_blocks(F.col("blocks"))))
-    return sub.select("sub_pos", B.block_key(merged).alias("ranges")).filter("ranges is not null")
+    return M.with_blocks(sub).select("sub_pos", F.col("block_key").alias("ranges")).filter("ranges is not null")
 
 
 @check("name_key", BASE + """
@@ -157,14 +156,14 @@ def _(spark, d):
 @check("full_block_match", BASE + " SELECT base_test_case, tool_used, sub_pos, b_file, b_size FROM matched")
 def _(spark, d):
     sub, gt = prepared(spark, d)
-    return sub.join(M.block_set_index(gt), ["_case", "block_key"], "left").select(*RUN, "sub_pos", "b_file", "b_size")
+    return M.with_blocks(sub).join(M.block_set_index(gt), ["_case", "block_key"], "left").select(*RUN, "sub_pos", "b_file", "b_size")
 
 
 @check("first_block_match", BASE + """
 SELECT m.base_test_case, m.tool_used, m.sub_pos, m.bset[1] AS first_block, f_rows FROM matched m LEFT JOIN firsts USING (sub_pos, tool_used)""")
 def _(spark, d):
     sub, gt = prepared(spark, d)
-    return sub.join(M.first_block_index(gt), ["_case", "first_block"], "left").select(
+    return M.with_blocks(sub).join(M.first_block_index(gt), ["_case", "first_block"], "left").select(
         *RUN, "sub_pos", "first_block", "f_rows"
     )
 
@@ -187,10 +186,8 @@ def _(spark, d):
 @check("assign_unique", BASE + " SELECT base_test_case, tool_used, sub_pos, k, a_file FROM assigned")
 def _(spark, d):
     sub, gt = prepared(spark, d)
-    mine = sub.withColumn("kind", dfr._kind(F.col("test_set"))).filter("kind is not null")
-    keyed = mine.withColumn("k", dfr._assign_key(F.col("kind"), "file_size", F.substr("name_key", F.lit(3))))
-    named = dfr.assigned_names(sub, gt, RUN)
-    return keyed.join(named, [*RUN, "sub_pos"]).select(*RUN, "sub_pos", "k", "a_file")
+    named = dfr.assign_names(sub, gt, RUN).filter("kind <> 'none'")
+    return named.select(*RUN, "sub_pos", F.regexp_replace("key", "[FN]:", "").alias("k"), "a_file")
 
 
 @check("assign_unique_shared_names")
@@ -216,7 +213,7 @@ SELECT base_test_case, tool_used, count(DISTINCT b_file) AS mapped, count(*) FIL
 def _(spark, d):
     sub, gt = prepared(spark, d)
     return (
-        sub.filter(F.col("test_set").isin(*dfr.BLOCK_SETS))
+        M.with_blocks(sub.filter(F.col("test_set").isin(*dfr.BLOCK_SETS)))
         .join(M.block_set_index(gt), ["_case", "block_key"], "left")
         .groupBy(*RUN)
         .agg(F.count_distinct("b_file").alias("mapped"), F.count_if(F.col("b_file").isNull()).alias("unmapped"))

@@ -22,6 +22,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def digits(text: Column) -> Column:
+    """Digits as bigint; the empty string goes around the cast, which would raise inside."""
+    return F.nullif(text, F.lit("")).try_cast("bigint")
+
+
 def no_ranges() -> Column:
     return F.array().cast(RANGE_TYPE)
 
@@ -45,15 +50,15 @@ def merge_ranges(ranges: Column) -> Column:
             ),
         )
 
-    return let(
-        ranges,
-        lambda rs: let(
+    def several(rs: Column) -> Column:
+        return let(
             F.array_sort(F.transform(rs, lambda r: r["s"])),
             lambda starts: let(
                 F.array_sort(F.transform(rs, lambda r: r["e"])), lambda ends: cut(starts, ends)
             ),
-        ),
-    )
+        )
+
+    return let(ranges, lambda rs: F.when(F.size(rs) < 2, rs).otherwise(several(rs)))
 
 
 def range_count(ranges: Column) -> Column:
@@ -96,8 +101,8 @@ def token_ranges(tokens: Column) -> Column:
     pattern = r"^\s*([0-9]+)(?:\s*-\s*([0-9]+))?\s*$"
 
     def one(t: Column) -> Column:
-        a = F.regexp_extract(t, pattern, 1).try_cast("bigint")
-        b = F.regexp_extract(t, pattern, 2).try_cast("bigint")  # null for a single number
+        a = digits(F.regexp_extract(t, pattern, 1))
+        b = digits(F.regexp_extract(t, pattern, 2))  # null for a single number
         return _range(F.least(a, b), F.greatest(a, b))  # both skip nulls
 
     return F.filter(F.transform(tokens, one), lambda r: r["s"].isNotNull())
@@ -122,7 +127,49 @@ def first_block(canonical: Column) -> Column:
 
 def block_key(canonical: Column) -> Column:
     """Text equal for equal block sets and null for the empty set."""
-    return F.when(F.size(canonical) > 0, format_ranges(canonical))
+    return F.nullif(format_ranges(canonical), F.lit(""))
+
+
+def block_summary(text: Column) -> Column:
+    """struct(set_size, block_key, first_block, has_tokens) of a block list, parsed once.
+
+    A lone number or range, the usual case, is answered by plain expressions; only longer lists
+    enter the array functions.
+    """
+    pattern = r"^\s*([0-9]{1,18})(?:-([0-9]{1,18}))?\s*$"
+    a = digits(F.regexp_extract(text, pattern, 1))
+    b = digits(F.regexp_extract(text, pattern, 2))
+    low, high = F.greatest(F.least(a, b), F.lit(1)), F.greatest(a, b)
+
+    def summary(size: Column, key: Column, first: Column, tokens: Column) -> Column:
+        return F.struct(
+            size.alias("set_size"), key.alias("block_key"), first.alias("first_block"), tokens.alias("has_tokens")
+        )
+
+    nothing = F.lit(None)
+    lone = F.when(high == 0, summary(F.lit(0).cast("bigint"), nothing.cast("string"), nothing.cast("bigint"), F.lit(True))).otherwise(
+        summary(
+            high - low + 1,
+            F.when(low == high, low.cast("string")).otherwise(F.concat_ws("-", low.cast("string"), high.cast("string"))),
+            low, F.lit(True),
+        )
+    )
+    listed = let(
+        token_ranges(parse_blocks(text)),
+        lambda rs: let(
+            block_set(rs), lambda m: summary(range_count(m), block_key(m), first_block(m), F.size(rs) > 0)
+        ),
+    )
+    empty = summary(F.lit(0).cast("bigint"), nothing.cast("string"), nothing.cast("bigint"), F.lit(False))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", empty).when(text.rlike(pattern), lone).otherwise(listed)
+
+
+def compute_once(df, column: Column):
+    """Add the fields of a struct column as columns, evaluated in one place.
+
+    A generator keeps later filters from being pushed below it, which would repeat the work.
+    """
+    return df.select("*", F.inline(F.array(column)))
 
 
 def _pairs(text: Column) -> tuple[Column, Column]:

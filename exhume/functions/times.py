@@ -33,11 +33,14 @@ def _zone(label: Column) -> Column:
     return F.coalesce(F.try_element_at(table, label), F.lit("UTC"))
 
 
+def _int(c: Column) -> Column:
+    return F.nullif(c, F.lit("")).try_cast("int")  # the cast would raise inside on ''
+
+
 def _seconds(y, mo, d, h, mi, s, zone: Column) -> Column:
     """Local wall time in a region as epoch seconds; a repeated hour means standard time."""
-    part = lambda c: c.try_cast("int")
     instant = F.call_function(
-        "try_make_timestamp", part(y), part(mo), part(d), part(h), part(mi), part(s).cast("decimal(8,6)"), zone
+        "try_make_timestamp", _int(y), _int(mo), _int(d), _int(h), _int(mi), _int(s).cast("decimal(8,6)"), zone
     )
     e = F.unix_seconds(instant)
     later = F.timestamp_seconds(e + 3600)
@@ -57,7 +60,7 @@ def to_epoch(text: Column) -> Column:
     ctime = _seconds(
         g(_CTIME, 7), month, g(_CTIME, 2), g(_CTIME, 3), g(_CTIME, 4), g(_CTIME, 5), _zone(g(_CTIME, 6))
     )
-    shift = (g(_OFFSET, 8).try_cast("int") * 3600 + g(_OFFSET, 9).try_cast("int") * 60) * F.when(
+    shift = (_int(g(_OFFSET, 8)) * 3600 + _int(g(_OFFSET, 9)) * 60) * F.when(
         g(_OFFSET, 7) == "-", -1
     ).otherwise(1)
     offset = _seconds(*[g(_OFFSET, i) for i in range(1, 7)], F.lit("UTC")) - shift

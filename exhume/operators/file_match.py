@@ -17,31 +17,14 @@ from exhume.operators.ordered import first_rows
 TIMES = ["modified_timestamp", "accessed_timestamp", "changed_timestamp"]
 
 
-def _block_columns(df: DataFrame, text: str) -> DataFrame:
-    return (
-        df.withColumn("_ranges", B.token_ranges(B.parse_blocks(F.col(text))))
-        .withColumn("_set", B.block_set(F.col("_ranges")))
-        .withColumn("set_size", B.range_count(F.col("_set")))
-        .withColumn("block_key", B.block_key(F.col("_set")))
-        .withColumn("first_block", B.first_block(F.col("_set")))
-        .withColumn("has_tokens", F.size("_ranges") > 0)
-        .drop("_ranges", "_set")
-    )
-
-
 def prepare_ground_truth(gt: DataFrame) -> DataFrame:
-    """Canonical columns of ground-truth files: _case, file_name, size, times, block columns, name keys."""
+    """Canonical columns of ground-truth files: _case, file_name, size, times, name keys, block text."""
     fat, plain = name_keys(F.col("_visible"))
     number = lambda c: to_int(null_token(F.col(c).cast("string")))
-    return (
-        _block_columns(gt, "dfr_blocks")
-        .withColumn("_visible", visible_name(F.col("file_name")))
-        .select(
-            case_key(F.col("base_test_case")).alias("_case"),
-            "file_name", "gt_pos", number("size").alias("size"), *[number(t).alias(t) for t in TIMES],
-            "set_size", "block_key", "first_block", "has_tokens",
-            fat.alias("fat_key"), plain.alias("plain_key"),
-        )
+    return gt.withColumn("_visible", visible_name(F.col("file_name"))).select(
+        case_key(F.col("base_test_case")).alias("_case"),
+        "file_name", "gt_pos", number("size").alias("size"), *[number(t).alias(t) for t in TIMES],
+        fat.alias("fat_key"), plain.alias("plain_key"), F.col("dfr_blocks").alias("blocks"),
     )
 
 
@@ -49,27 +32,29 @@ def prepare_submission(sub: DataFrame, run: list[str]) -> DataFrame:
     """Canonical columns of submitted files; test sets are compared in upper case."""
     fat, plain = name_keys(F.col("_visible"))
     number = lambda c: to_int(F.col(c).cast("string"))
-    return (
-        _block_columns(sub, "blocks")
-        .withColumn("_visible", visible_name(F.col("file_name")))
-        .select(
-            *run,
-            case_key(F.col("base_test_case")).alias("_case"),
-            F.upper(F.trim("test_set")).alias("test_set"),
-            "file_name", "sub_pos", number("file_size").alias("file_size"),
-            *[number(t).alias(t) for t in TIMES],
-            "set_size", "block_key", "first_block",
-            is_fat(F.col("file_system")).alias("is_fat"),
-            F.when(is_fat(F.col("file_system")), fat).otherwise(plain).alias("name_key"),
-        )
+    return sub.withColumn("_visible", visible_name(F.col("file_name"))).select(
+        *run,
+        case_key(F.col("base_test_case")).alias("_case"),
+        F.upper(F.trim("test_set")).alias("test_set"),
+        "file_name", "sub_pos", number("file_size").alias("file_size"),
+        *[number(t).alias(t) for t in TIMES],
+        is_fat(F.col("file_system")).alias("is_fat"),
+        F.when(is_fat(F.col("file_system")), fat).otherwise(plain).alias("name_key"),
+        "blocks",
     )
 
 
+def with_blocks(df: DataFrame) -> DataFrame:
+    """Add set_size, block_key, first_block and has_tokens of the block text."""
+    return B.compute_once(df, B.block_summary(F.col("blocks"))).drop("blocks")
+
+
 def name_index(gt: DataFrame) -> DataFrame:
     """First ground-truth row per (case, name key), for FAT and other systems alike."""
     keyed = gt.withColumn("name_key", F.explode(F.array_distinct(F.array("fat_key", "plain_key")))).filter(
         F.col("name_key").isNotNull()
     )
+    keyed = with_blocks(keyed)
     return first_rows(keyed, ["_case", "name_key"], [F.col("gt_pos")], ["file_name", "size", "set_size"]).select(
         "_case", "name_key",
         F.col("file_name").alias("n_file"), F.col("size").alias("n_size"), F.col("set_size").alias("n_set"),
@@ -78,7 +63,7 @@ def name_index(gt: DataFrame) -> DataFrame:
 
 def block_set_index(gt: DataFrame) -> DataFrame:
     """First ground-truth row per (case, block set)."""
-    keyed = gt.filter(F.col("block_key").isNotNull())
+    keyed = with_blocks(gt).filter(F.col("block_key").isNotNull())
     return first_rows(keyed, ["_case", "block_key"], [F.col("gt_pos")], ["file_name", "size", "set_size"]).select(
         "_case", "block_key",
         F.col("file_name").alias("b_file"), F.col("size").alias("b_size"), F.col("set_size").alias("b_set"),
@@ -94,7 +79,8 @@ def first_block_index(gt: DataFrame) -> DataFrame:
     """
     key = ["_case", "first_block"]
     named = (
-        gt.filter(F.col("first_block").isNotNull())
+        with_blocks(gt)
+        .filter(F.col("first_block").isNotNull())
         .groupBy(*key, "file_name")
         .agg(
             F.count("*").alias("_rows"),
@@ -124,7 +110,8 @@ def size_index(gt: DataFrame) -> DataFrame:
 def match_files(sub: DataFrame, gt: DataFrame) -> DataFrame:
     """Submitted files with the ground-truth rows found by name, block set, first block and size."""
     return (
-        sub.join(name_index(gt), ["_case", "name_key"], "left")
+        with_blocks(sub)
+        .join(name_index(gt), ["_case", "name_key"], "left")
         .join(block_set_index(gt), ["_case", "block_key"], "left")
         .join(first_block_index(gt), ["_case", "first_block"], "left")
         .join(size_index(gt), ["_case", "file_size"], "left")

@@ -97,3 +97,40 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column], columns: li
     """The first row of each group by ``order``, as an aggregate so it combines map-side."""
     picked = F.min_by(F.struct(*columns), F.struct(*order)).alias("_first")
     return df.groupBy(*group).agg(picked).select(*group, "_first.*")
+
+
+def running_max_before(
+    df: DataFrame, group: list[str], pos: str, value: str, out: str, width: int = WIDTH
+) -> DataFrame:
+    """Largest ``value`` among the rows before each row of its group (rows tie-broken by value)."""
+    cut = df.withColumn("_b", _bucket(pos, width))
+    inside = (
+        Window.partitionBy(*group, "_b").orderBy(pos, value).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        cut.groupBy(*group, "_b")
+        .agg(F.max(value).alias("_m"))
+        .select(*group, "_b", F.max("_m").over(before).alias("_carry"))
+    )
+    return (
+        cut.withColumn("_local", F.max(value).over(inside))
+        .join(carried, [*group, "_b"])
+        .withColumn(out, F.greatest("_local", "_carry"))
+        .drop("_b", "_local", "_carry")
+    )
+
+
+def merge_intervals(
+    df: DataFrame, group: list[str], start: str, end: str, width: int = WIDTH * 512
+) -> DataFrame:
+    """(group, lo, hi) unions of half-open intervals; touching ones merge."""
+    bounds = df.select(*group, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
+    seen = running_max_before(bounds, group, "_s", "_e", "_prior", width)
+    opens = F.when(F.col("_prior").isNull() | (F.col("_s") > F.col("_prior")), F.col("_s"))
+    # equal starts share the segment of the first of them, so the carried start is well defined
+    led = carry_forward(
+        seen.withColumn("_open", opens).groupBy(*group, "_s").agg(F.max("_e").alias("_e"), F.min("_open").alias("_open")),
+        group, "_s", F.col("_open"), "lo", width,
+    )
+    return led.groupBy(*group, "lo").agg(F.max("_e").alias("hi"))
