@@ -37,12 +37,13 @@ stats AS (SELECT p.pair, length(oh) // 2 AS o_bytes, coalesce(ob.n, 0) AS origin
   FROM pairs p LEFT JOIN (SELECT pair, count(*) AS n FROM oblk GROUP BY pair) ob USING (pair) LEFT JOIN (SELECT pair, count(*) AS n FROM cblk GROUP BY pair) cb USING (pair)
   LEFT JOIN vote USING (pair) LEFT JOIN (SELECT pair, count(*) AS n FROM cand GROUP BY pair) k USING (pair)
   LEFT JOIN (SELECT pair, count(*) AS n, count(DISTINCT ci) AS nc, count(DISTINCT oi) AS no FROM aligned GROUP BY pair) a USING (pair) LEFT JOIN runs USING (pair) LEFT JOIN cover USING (pair)),
-obyte AS (SELECT pair, unnest(regexp_extract_all(oh, '..')) AS b, unnest(range(0, length(oh) // 2)) AS i FROM pairs),
-cbyte AS (SELECT pair, unnest(regexp_extract_all(ch, '..')) AS b, unnest(range(0, length(ch) // 2)) AS i FROM pairs),
+obyte AS MATERIALIZED (SELECT pair, unnest(regexp_extract_all(oh, '..')) AS b, unnest(range(0, length(oh) // 2)) AS i FROM pairs),
+cbyte AS MATERIALIZED (SELECT pair, unnest(regexp_extract_all(ch, '..')) AS b, unnest(range(0, length(ch) // 2)) AS i FROM pairs),
 modes AS (SELECT DISTINCT pair, o AS "offset" FROM (SELECT pair, 0 AS o FROM stats UNION ALL SELECT pair, "offset" FROM stats)),
-cells AS (SELECT m.pair, m."offset", o.i - greatest(m."offset", 0) AS rel, o.b AS a, c.b AS b FROM modes m JOIN obyte o USING (pair) JOIN cbyte c ON c.pair = m.pair AND c.i = o.i - m."offset"),
+shifted AS MATERIALIZED (SELECT m.pair, m."offset", o.i - greatest(m."offset", 0) AS rel, o.i - m."offset" AS i, o.b AS a FROM modes m JOIN obyte o USING (pair)),
+cells AS MATERIALIZED (SELECT s.pair, s."offset", s.rel, s.a, c.b AS b FROM shifted s JOIN cbyte c ON c.pair = s.pair AND c.i = s.i),
 eqruns AS (SELECT pair, "offset", max(n) AS longest_equal_run FROM (SELECT pair, "offset", count(*) AS n FROM
-  (SELECT pair, "offset", rel - row_number() OVER (PARTITION BY pair, "offset" ORDER BY rel) AS g FROM cells WHERE a = b) GROUP BY ALL) GROUP BY ALL),
+  (SELECT pair, "offset", rel - row_number() OVER (PARTITION BY pair, "offset" ORDER BY rel) AS g FROM cells WHERE a = b) GROUP BY pair, "offset", g) GROUP BY pair, "offset"),
 diffs AS (SELECT pair, "offset", count(*) AS n, min(rel) AS first, CAST(sum(bit_count(xor({HEX.format('a')}, {HEX.format('b')}))) AS BIGINT) AS bits FROM cells WHERE a <> b GROUP BY ALL),
 tails AS (SELECT m.pair, m."offset", length(oh) // 2 AS o_bytes, length(ch) // 2 AS c_bytes, greatest(length(oh) // 2 - greatest(m."offset", 0), 0) AS ot, greatest(length(ch) // 2 - greatest(-m."offset", 0), 0) AS ct FROM modes m JOIN pairs USING (pair)),
 compared AS (SELECT *, 1.0::DOUBLE - CASE WHEN total_bytes = 0 THEN 0.0 ELSE diff_bytes / total_bytes END AS byte_similarity, greatest("offset", 0) + first_diff AS first_diff_orig, greatest(-"offset", 0) + first_diff AS first_diff_carved,

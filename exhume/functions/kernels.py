@@ -84,8 +84,8 @@ def correlate(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
     Output rows are differences, at most the sum of the two spans, never pairs.
     """
     for pdf in frames:
-        for row in pdf.itertuples(index=False):
-            o, c = np.asarray(row.o_idx), np.asarray(row.c_idx)
+        for row in pdf.to_dict("records"):
+            o, c = np.asarray(row["o_idx"]), np.asarray(row["c_idx"])
             low = int(o[0] - c[-1])
             votes = np.zeros(int(o[-1] - c[0]) - low + 1, np.int64)
             first = np.zeros(len(votes), np.int64)
@@ -94,7 +94,7 @@ def correlate(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
                 votes[spot] += 1
                 first[spot] = i
             hit = np.flatnonzero(votes)
-            out = {k: [getattr(row, k)] * len(hit) for k in keys}
+            out = {k: [row[k]] * len(hit) for k in keys}
             yield pd.DataFrame({
                 **out, "d": hit + low, "votes": votes[hit], "ci": first[hit], "oi": hit + low + first[hit],
             })

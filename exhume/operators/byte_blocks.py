@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from exhume.functions.kernels import correlate
 from exhume.functions.metrics import ratio
 from exhume.operators.ordered import islands, merge_intervals
+from exhume.session import stage
 
 PAIRWISE = 4096  # pairs of equal blocks met row by row; beyond it, indices are correlated in segments
 SEGMENT = 2048
@@ -128,8 +129,10 @@ def aligned_match_stats(
     pairs: DataFrame, orig: DataFrame, carved: DataFrame, pair: list[str], stride: int
 ) -> DataFrame:
     """Alignment and match statistics of each pair; ``pairs`` has pair and o_bytes."""
-    vote = alignment_vote(orig, carved, pair, stride)
-    aligned = aligned_matches(orig, carved, vote, pair)
+    # read many times below: hash the files once, vote once
+    orig, carved = stage(orig), stage(carved)
+    vote = stage(alignment_vote(orig, carved, pair, stride))
+    aligned = stage(aligned_matches(orig, carved, vote, pair))
     o_total = orig.groupBy(*pair).agg(F.count("*").alias("original_blocks"))
     c_total = carved.groupBy(*pair).agg(F.count("*").alias("carved_blocks"))
     matched = aligned.groupBy(*pair).agg(

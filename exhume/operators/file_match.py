@@ -13,19 +13,21 @@ from exhume.functions import blocks as B
 from exhume.functions.names import is_fat, name_keys, visible_name
 from exhume.functions.text import case_key, null_token, to_int
 from exhume.operators.ordered import first_rows
+from exhume.session import stage
 
 TIMES = ["modified_timestamp", "accessed_timestamp", "changed_timestamp"]
 
 
 def prepare_ground_truth(gt: DataFrame) -> DataFrame:
-    """Canonical columns of ground-truth files: _case, file_name, size, times, name keys, block text."""
+    """Canonical columns of ground-truth files, written once because every index reads them."""
     fat, plain = name_keys(F.col("_visible"))
     number = lambda c: to_int(null_token(F.col(c).cast("string")))
-    return gt.withColumn("_visible", visible_name(F.col("file_name"))).select(
+    keyed = gt.withColumn("_visible", visible_name(F.col("file_name"))).select(
         case_key(F.col("base_test_case")).alias("_case"),
         "file_name", "gt_pos", number("size").alias("size"), *[number(t).alias(t) for t in TIMES],
         fat.alias("fat_key"), plain.alias("plain_key"), F.col("dfr_blocks").alias("blocks"),
     )
+    return stage(with_blocks(keyed))
 
 
 def prepare_submission(sub: DataFrame, run: list[str]) -> DataFrame:
@@ -54,7 +56,6 @@ def name_index(gt: DataFrame) -> DataFrame:
     keyed = gt.withColumn("name_key", F.explode(F.array_distinct(F.array("fat_key", "plain_key")))).filter(
         F.col("name_key").isNotNull()
     )
-    keyed = with_blocks(keyed)
     return first_rows(keyed, ["_case", "name_key"], [F.col("gt_pos")], ["file_name", "size", "set_size"]).select(
         "_case", "name_key",
         F.col("file_name").alias("n_file"), F.col("size").alias("n_size"), F.col("set_size").alias("n_set"),
@@ -63,7 +64,7 @@ def name_index(gt: DataFrame) -> DataFrame:
 
 def block_set_index(gt: DataFrame) -> DataFrame:
     """First ground-truth row per (case, block set)."""
-    keyed = with_blocks(gt).filter(F.col("block_key").isNotNull())
+    keyed = gt.filter(F.col("block_key").isNotNull())
     return first_rows(keyed, ["_case", "block_key"], [F.col("gt_pos")], ["file_name", "size", "set_size"]).select(
         "_case", "block_key",
         F.col("file_name").alias("b_file"), F.col("size").alias("b_size"), F.col("set_size").alias("b_set"),
@@ -79,8 +80,7 @@ def first_block_index(gt: DataFrame) -> DataFrame:
     """
     key = ["_case", "first_block"]
     named = (
-        with_blocks(gt)
-        .filter(F.col("first_block").isNotNull())
+        gt.filter(F.col("first_block").isNotNull())
         .groupBy(*key, "file_name")
         .agg(
             F.count("*").alias("_rows"),

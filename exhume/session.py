@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -27,16 +27,26 @@ def build(master: str = "local[*]", app: str = "exhume", **extra: str) -> SparkS
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; set a temporary one only where none is named (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where none is named (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
-        configured = tempfile.mkdtemp(prefix="exhume-checkpoint-")
-    context.setCheckpointDir(configured)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
+    configured = tempfile.mkdtemp(prefix="exhume-stage-")
+    spark.conf.set("spark.checkpoint.dir", configured)
     return configured
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    For intermediate results that several later steps read: the work behind them is done once, lost
+    executors cost nothing, and joins are planned with the table's real size. The caller's job owns
+    the folder and its clean-up.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
