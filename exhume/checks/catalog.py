@@ -1,4 +1,4 @@
 """All registered queries and oracles."""
 
-from exhume.checks import carved_files, recovered_files, sector_maps, text_search  # noqa: F401
+from exhume.checks import carved_files, recovered_files, sector_maps, text_search, tool_reports  # noqa: F401
 from exhume.checks.fixtures import ORACLES, QUERIES  # noqa: F401

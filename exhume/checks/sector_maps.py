@@ -133,7 +133,7 @@ FROM scored s JOIN best USING (gt_pos) WHERE s.u = CASE WHEN s.gt_pos % 2 = 0 TH
 def _(spark, d):
     given = F.when(F.col("gt_pos") % 2 == 0, 4096).otherwise(1024).cast("bigint")
     checked = S.validate_geometry(F.col("ranges"), F.lit(START).cast("bigint"), F.col("size"), given)
-    return parsed(spark, d).withColumn("_g", checked).select("gt_pos", "_g.unit_size", "_g.source")
+    return B.compute_once(parsed(spark, d), checked).select("gt_pos", "unit_size", "source")
 
 
 @check("print_mode", SPANS + """ SELECT gt_pos, CASE WHEN count(DISTINCT u) = any_value((size + 4095) // 4096) THEN 'fs' ELSE 'sector' END AS mode FROM

@@ -67,32 +67,38 @@ def pick_partition(files: DataFrame, parts: DataFrame, scope: list[str], ranges:
     )
 
 
-def _fit(ranges: Column, start: Column, size: Column, unit: int, total: Column) -> tuple[Column, ...]:
-    """(count differs, misaligned, over-coverage) of one unit size."""
-    spu = unit // SECTOR
-    count = B.range_count(B.sectors_to_units(ranges, start, F.lit(spu).cast("bigint")))
-    expected = F.when(size.isNotNull() & (size != 0), B.expected_units(size, F.lit(unit).cast("bigint")))
-    differs = F.when(count == F.coalesce(expected, F.lit(-1).cast("bigint")), 0).otherwise(1)
-    misaligned = F.exists(ranges, lambda r: F.pmod(r["s"] - start, F.lit(spu)) != 0).cast("int")
-    return differs, misaligned, F.greatest(F.lit(0).cast("bigint"), count * spu - total)
-
-
-def _gcd_bytes(ranges: Column) -> Column:
-    """Greatest common divisor of the run lengths, in bytes (0 without runs)."""
-    lengths = F.transform(ranges, lambda r: r["e"] - r["s"] + 1)
+def _unit_count(sectors: Column, start: Column, spu: int | Column) -> Column:
+    """Units touched by sorted disjoint ranges: neighbours can share one unit at most, so one pass does."""
+    per = F.lit(spu).cast("bigint") if isinstance(spu, int) else spu
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("last"))
+
+    def step(acc: Column, r: Column) -> Column:
+        low, high = B.floor_div(r["s"] - start, per), B.floor_div(r["e"] - start, per)
+        again = F.coalesce(acc["last"] == low, F.lit(False)).cast("bigint")
+        return F.struct((acc["n"] + high - low + 1 - again).alias("n"), high.alias("last"))
+
+    return F.aggregate(sectors, none, step, lambda acc: acc["n"])
+
 
-    def step(acc: Column, n: Column) -> Column:
-        # Euclid by repeated remainder; 92 steps reach the end for any two 64-bit numbers
-        pair = F.struct(acc.alias("a"), n.alias("b"))
-        done = F.aggregate(
-            F.sequence(F.lit(1), F.lit(92)), pair,
+def _gcd_sectors(ranges: Column) -> Column:
+    """Greatest common divisor of the run lengths (0 without runs)."""
+
+    def euclid(a: Column, b: Column) -> Column:
+        # 92 remainders end for any two 64-bit numbers
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(92)),
+            F.struct(a.alias("a"), b.alias("b")),
             lambda p, _i: F.when(p["b"] == 0, p).otherwise(
                 F.struct(p["b"].alias("a"), F.pmod(p["a"], F.greatest(p["b"], F.lit(1).cast("bigint"))).alias("b"))
             ),
+            lambda p: p["a"],
         )
-        return done["a"]
 
-    return F.aggregate(lengths, F.lit(0).cast("bigint"), step) * SECTOR
+    lengths = F.transform(ranges, lambda r: r["e"] - r["s"] + 1)
+    return F.aggregate(
+        lengths, F.lit(0).cast("bigint"),
+        lambda acc, n: F.when(acc == 0, n).when(F.pmod(n, acc) == 0, acc).otherwise(euclid(acc, n)),
+    )
 
 
 def infer_unit_size(ranges: Column, start: Column, size: Column, gcd_hint: bool = False) -> Column:
@@ -100,22 +106,34 @@ def infer_unit_size(ranges: Column, start: Column, size: Column, gcd_hint: bool
 
     Order: block count equals ceil(size / unit), starts aligned, least over-coverage, usual sizes
     first. Without a size the count never fits. ``gcd_hint`` lowers the over-coverage of the candidate
-    equal to the gcd of the run lengths by one.
+    equal to the gcd of the run lengths by one. All candidates are scored inside the row.
     """
+    zero = F.lit(0).cast("bigint")
+    known = size.isNotNull() & (size != 0)
+
+    def score(rank: int, unit: int, facts: Column) -> Column:
+        spu = unit // SECTOR
+        count = _unit_count(facts["sectors"], start, spu)
+        misaligned = F.exists(ranges, lambda r: F.pmod(r["s"] - start, F.lit(spu)) != 0).cast("int")
 
-    def choose(total: Column) -> Column:
-        gcd = _gcd_bytes(ranges) if gcd_hint else None
-        scores = []
-        for rank, unit in enumerate(UNIT_SIZES):
-            differs, misaligned, over = _fit(ranges, start, size, unit, total)
+        def ordered(n: Column) -> Column:
+            fits = F.coalesce(known & (n == B.expected_units(size, F.lit(unit).cast("bigint"))), F.lit(False))
+            over = F.greatest(zero, n * spu - facts["total"])
             if gcd_hint:
-                over = F.when(gcd == unit, F.greatest(F.lit(0).cast("bigint"), over - 1)).otherwise(over)
-            scores.append(
-                F.struct(differs.alias("d"), misaligned.alias("m"), over.alias("o"), F.lit(rank).alias("r"), F.lit(unit).alias("u"))
+                over = F.when(facts["gcd"] == spu, F.greatest(zero, over - 1)).otherwise(over)
+            return F.struct(
+                F.when(fits, 0).otherwise(1).alias("d"), misaligned.alias("m"), over.alias("o"),
+                F.lit(rank).alias("r"), F.lit(unit).alias("u"),
             )
-        return F.array_min(F.array(*scores))["u"]
 
-    return F.when(F.size(ranges) > 0, B.let(B.range_count(ranges), choose)).cast("bigint")
+        return B.let(count, ordered)
+
+    facts = F.struct(
+        B.merge_ranges(ranges).alias("sectors"), B.range_count(ranges).alias("total"),
+        (_gcd_sectors(ranges) if gcd_hint else zero).alias("gcd"),
+    )
+    best = B.let(facts, lambda f: F.array_min(F.array(*[score(i, u, f) for i, u in enumerate(UNIT_SIZES)])))
+    return F.when(F.size(ranges) > 0, best["u"]).cast("bigint")
 
 
 def validate_geometry(ranges: Column, start: Column, size: Column, unit: Column) -> Column:
@@ -126,16 +144,24 @@ def validate_geometry(ranges: Column, start: Column, size: Column, unit: Column)
     """
     given = F.coalesce(unit, F.lit(0).cast("bigint"))
     spu = F.greatest(F.lit(1).cast("bigint"), B.floor_div(given, F.lit(SECTOR)))
-    count = B.range_count(B.sectors_to_units(ranges, start, spu))
     known = size.isNotNull() & (size != 0)
-    contradicts = F.coalesce(known & (count != B.expected_units(size, F.greatest(given, F.lit(1)))), F.lit(False))
+
+    def consistent(count: Column) -> Column:
+        contradicts = F.coalesce(
+            known & (count != B.expected_units(size, F.greatest(given, F.lit(1)))), F.lit(False)
+        )
+        return ~contradicts & ~(count * spu - B.range_count(ranges) > MAX_OVER_COVERAGE)
+
     misaligned = F.exists(ranges, lambda r: F.pmod(r["s"] - start, spu) != 0)
-    too_many = count * spu - B.range_count(ranges) > MAX_OVER_COVERAGE
-    keep = (given > 0) & ~contradicts & ~misaligned & ~too_many
-    inferred = infer_unit_size(ranges, start, size)
-    return F.struct(
-        F.when(keep, given).otherwise(F.coalesce(inferred, F.lit(SECTOR).cast("bigint"))).alias("unit_size"),
-        F.when(keep, "fsstat").when(inferred.isNotNull(), "inferred").otherwise("fallback_sector").alias("source"),
+    keep = (given > 0) & ~misaligned & B.let(_unit_count(B.merge_ranges(ranges), start, spu), consistent)
+    # -1 keeps the given size; inference runs only for the rows that need it
+    found = F.when(keep, F.lit(-1)).otherwise(F.coalesce(infer_unit_size(ranges, start, size), F.lit(0)))
+    return B.let(
+        found,
+        lambda v: F.struct(
+            F.when(v == -1, given).when(v == 0, F.lit(SECTOR)).otherwise(v).cast("bigint").alias("unit_size"),
+            F.when(v == -1, "fsstat").when(v == 0, "fallback_sector").otherwise("inferred").alias("source"),
+        ),
     )
 
 
