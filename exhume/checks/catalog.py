@@ -1,4 +1,11 @@
 """All registered queries and oracles."""
 
-from exhume.checks import carved_files, recovered_files, sector_maps, text_search, tool_reports  # noqa: F401
+from exhume.checks import (  # noqa: F401
+    carved_files,
+    input_output,
+    recovered_files,
+    sector_maps,
+    text_search,
+    tool_reports,
+)
 from exhume.checks.fixtures import ORACLES, QUERIES  # noqa: F401

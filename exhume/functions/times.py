@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from exhume.functions.blocks import let
+
 # Zone labels and the region each one means (daylight saving follows the date).
 ZONES = {
     "GMT": "UTC",
@@ -19,6 +21,7 @@ ZONES = {
     "MDT": "America/Denver",
     "MST": "America/Denver",
 }
+FIELDS = ("year", "month", "day", "hour", "minute", "second")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _CLOCK = r"(\d{2}):(\d{2}):(\d{2})"
@@ -37,36 +40,44 @@ def _int(c: Column) -> Column:
     return F.nullif(c, F.lit("")).try_cast("int")  # the cast would raise inside on ''
 
 
-def _seconds(y, mo, d, h, mi, s, zone: Column) -> Column:
-    """Local wall time in a region as epoch seconds; a repeated hour means standard time."""
+def _seconds(t: Column) -> Column:
+    """Wall time ``t`` (year .. second, zone, shift) as epoch seconds; a repeated hour means standard time."""
+    zone = t["zone"]
     instant = F.call_function(
-        "try_make_timestamp", _int(y), _int(mo), _int(d), _int(h), _int(mi), _int(s).cast("decimal(8,6)"), zone
+        "try_make_timestamp", *[_int(t[f]) for f in FIELDS[:5]], _int(t["second"]).cast("decimal(8,6)"), zone
     )
-    e = F.unix_seconds(instant)
-    later = F.timestamp_seconds(e + 3600)
-    offset = lambda ts: F.unix_seconds(F.from_utc_timestamp(ts, zone)) - F.unix_seconds(ts)
-    repeated = offset(later) == offset(instant) - 3600
-    return F.when(repeated, e + 3600).otherwise(e)
+
+    def settle(e: Column) -> Column:
+        offset = lambda x: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(x), zone)) - x
+        return F.when(offset(e + 3600) == offset(e) - 3600, e + 3600).otherwise(e)
+
+    return let(F.unix_seconds(instant), settle) - t["shift"]
 
 
 def to_epoch(text: Column) -> Column:
     """Epoch seconds, 0 for the all-zero date, null for anything unknown."""
-    t = F.trim(text)
-    g = lambda p, i: F.regexp_extract(t, p, i)
-
-    labelled = _seconds(*[g(_LABELLED, i) for i in range(1, 7)], _zone(g(_LABELLED, 7)))
-    names = F.array(*[F.lit(m) for m in MONTHS])
-    month = F.nullif(F.array_position(names, F.lower(g(_CTIME, 1))), F.lit(0)).cast("string")
-    ctime = _seconds(
-        g(_CTIME, 7), month, g(_CTIME, 2), g(_CTIME, 3), g(_CTIME, 4), g(_CTIME, 5), _zone(g(_CTIME, 6))
-    )
-    shift = (_int(g(_OFFSET, 8)) * 3600 + _int(g(_OFFSET, 9)) * 60) * F.when(
-        g(_OFFSET, 7) == "-", -1
-    ).otherwise(1)
-    offset = _seconds(*[g(_OFFSET, i) for i in range(1, 7)], F.lit("UTC")) - shift
-    return (
-        F.when(t.startswith("0000-00-00"), F.lit(0).cast("bigint"))
-        .when(t.rlike(_LABELLED), labelled)
-        .when(t.rlike(_CTIME), ctime)
-        .when(t.rlike(_OFFSET), offset)
+
+    def fields(t: Column) -> Column:
+        g = lambda p, i: F.regexp_extract(t, p, i)
+
+        def spelled(parts: list[Column], zone: Column, shift: Column) -> Column:
+            named = [p.alias(f) for p, f in zip(parts, FIELDS)]
+            return F.struct(*named, zone.alias("zone"), shift.cast("bigint").alias("shift"))
+
+        names = F.array(*[F.lit(m) for m in MONTHS])
+        month = F.nullif(F.array_position(names, F.lower(g(_CTIME, 1))), F.lit(0)).cast("string")
+        sign = F.when(g(_OFFSET, 7) == "-", -1).otherwise(1)
+        shift = (_int(g(_OFFSET, 8)) * 3600 + _int(g(_OFFSET, 9)) * 60) * sign
+        return (
+            F.when(t.rlike(_LABELLED), spelled([g(_LABELLED, i) for i in range(1, 7)], _zone(g(_LABELLED, 7)), F.lit(0)))
+            .when(
+                t.rlike(_CTIME),
+                spelled([g(_CTIME, 7), month, *[g(_CTIME, i) for i in range(2, 6)]], _zone(g(_CTIME, 6)), F.lit(0)),
+            )
+            .when(t.rlike(_OFFSET), spelled([g(_OFFSET, i) for i in range(1, 7)], F.lit("UTC"), shift))
+        )
+
+    trimmed = F.trim(text)
+    return F.when(trimmed.startswith("0000-00-00"), F.lit(0).cast("bigint")).otherwise(
+        let(trimmed, lambda t: let(fields(t), _seconds))
     )
