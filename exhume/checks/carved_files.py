@@ -10,7 +10,7 @@ from exhume.checks.text_search import F1, PRF
 from exhume.functions.values import hamming, quality_label
 from exhume.operators import byte_blocks as BB
 from exhume.operators import byte_compare as BC
-from exhume.operators.fingerprint import fingerprint64, nearest_original, select_original
+from exhume.operators.fingerprint import fingerprint64, image_lowfreq, nearest_original, select_original
 from exhume.operators.ordered import islands, merge_intervals
 from exhume.plans import carving
 
@@ -230,6 +230,19 @@ def _(spark, d):
     return view(spark, d, "embeddings").select("vec_id", fingerprint64(F.col("embedding")).alias("hash"))
 
 
+@check("image_fingerprint")
+def _(spark, d):
+    """Whole documents as grey images, 32 bytes a row, the last row filled up with zeros."""
+    data = F.encode("text", "UTF-8")
+    rows = F.ceil(F.octet_length(data) / 32).cast("int")
+    image = F.struct(
+        F.col("doc_id").cast("string").alias("origin"), rows.alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"),
+        F.rpad(data, rows * 32, F.lit(b"\x00")).alias("data"),
+    )
+    low = image_lowfreq(view(spark, d, "documents").select(image.alias("image")))
+    return low.select(F.col("path").cast("bigint").alias("doc_id"), "decodes", fingerprint64(F.col("values")).alias("hash"))
+
+
 @check("hamming", FP + " SELECT vec_id, CAST(bit_count(xor(hash, vec_id)) AS BIGINT) AS dist FROM fp")
 def _(spark, d):
     fp = view(spark, d, "embeddings").select("vec_id", fingerprint64(F.col("embedding")).alias("hash"))

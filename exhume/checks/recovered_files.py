@@ -12,7 +12,8 @@ from exhume.functions.text import null_token, to_int
 from exhume.operators import file_match as M
 from exhume.operators.assign import assign_unique
 from exhume.operators.ordered import first_rows, rank_in_group
-from exhume.operators.validate import dfr_reasons, gt_presence, in_enum
+from exhume.functions.metrics import with_prf
+from exhume.operators.validate import dfr_reasons, gt_presence, in_enum, single_gt_file
 from exhume.plans import dfr
 
 RUN = ["base_test_case", "tool_used"]
@@ -281,3 +282,22 @@ def _(spark, d):
     return gt.groupBy("type", "os", in_enum("type").alias("type_ok"), in_enum("os").alias("os_ok")).agg(
         F.count("*").alias("n")
     )
+
+
+@check("prf", f"""WITH counts AS (SELECT l_linenumber % 3 AS tp, l_suppkey % 4 AS fp, l_partkey % 5 AS fn, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT *, {F1} FROM (SELECT *, {PRF} FROM counts)""")
+def _(spark, d):
+    grid = view(spark, d, "lineitem").groupBy(
+        (F.col("l_linenumber") % 3).alias("tp"), (F.col("l_suppkey") % 4).alias("fp"), (F.col("l_partkey") % 5).alias("fn")
+    )
+    return with_prf(grid.agg(F.count("*").alias("n")))
+
+
+@check("single_gt_file", """WITH gt AS (SELECT concat('WR-', CAST(c_nationkey % 7 AS VARCHAR), c_mktsegment) AS k, count(*) AS n FROM customer GROUP BY ALL)
+SELECT r.k AS base_test_case, CASE WHEN gt.n IS NULL THEN 'no ground truth' WHEN gt.n <> 1 THEN 'more than one ground truth file' END AS reason
+FROM (SELECT DISTINCT concat('WR-', CAST(s_nationkey % 9 AS VARCHAR), 'BUILDING') AS k FROM supplier) r LEFT JOIN gt ON r.k = gt.k""")
+def _(spark, d):
+    name = lambda n, s: F.concat(F.lit("WR-"), n.cast("string"), s).alias("base_test_case")
+    gt = view(spark, d, "customer").select(name(F.col("c_nationkey") % 7, F.col("c_mktsegment")))
+    runs = view(spark, d, "supplier").select(name(F.col("s_nationkey") % 9, F.lit("BUILDING"))).distinct()
+    return single_gt_file(runs, gt)
