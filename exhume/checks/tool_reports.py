@@ -201,24 +201,21 @@ def _(spark, d):
     )
 
 
-@check("prompt_matrix", """WITH p AS (SELECT doc_id AS pos, text AS prompt, source AS disk_image, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_no FROM documents),
-jobs AS (SELECT DISTINCT conv_id AS job_id, 5 + conv_id % 7 AS n FROM conversations)
-SELECT j.job_id, p.row_no, concat('#', CAST(j.job_id % 3 AS VARCHAR), ' ', p.prompt, ' @/img You should provide a shell code to achieve this task. #!/bin/bash') AS rendered FROM jobs j JOIN p ON p.row_no <= j.n
-WHERE p.disk_image = (SELECT min(source) FROM documents)""")
+@check("prompt_matrix", """WITH p AS (SELECT doc_id AS pos, text AS prompt, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_no FROM documents)
+SELECT j.doc_id AS job_id, p.row_no, concat('#', CAST(j.doc_id % 3 AS VARCHAR), ' ', p.prompt, ' @/img You should provide a shell code to achieve this task. #!/bin/bash') AS rendered
+FROM documents j JOIN p ON p.source = j.source AND p.row_no <= 5 + j.doc_id % 7""")
 def _(spark, d):
-    """Every conversation is a job over the prompts of the first document source; three templates."""
+    """Every document is a job over the first documents of its own source; three templates."""
     docs = view(spark, d, "documents")
     prompts = docs.select(F.col("doc_id").alias("pos"), F.col("text").alias("prompt"), F.col("source").alias("disk_image"))
-    jobs = view(spark, d, "conversations").select(F.col("conv_id").alias("job_id")).distinct().select(
-        "job_id", F.lit("/img").alias("disk_image_path"), (F.col("job_id") % 3).alias("base_prompt_id"),
-        (F.col("job_id") % 7 + 5).alias("take_in_test_count"), F.lit("shell").alias("script_type"), F.lit(1).alias("_one"),
+    jobs = docs.select(
+        F.col("doc_id").alias("job_id"), F.col("source").alias("disk_image"), F.lit("/img").alias("disk_image_path"),
+        (F.col("doc_id") % 3).alias("base_prompt_id"), (F.col("doc_id") % 7 + 5).alias("take_in_test_count"), F.lit("shell").alias("script_type"),
     )
-    first = docs.agg(F.min("source").alias("disk_image"), F.max(F.lit(1)).alias("_one"))
     templates = view(spark, d, "region").select((F.col("r_regionkey") % 3).cast("bigint").alias("base_prompt_id")).distinct().withColumn(
         "template", F.concat(F.lit("#"), F.col("base_prompt_id").cast("string"), F.lit(" {prompt} @{DISK_IMAGE_PATH}"))
     )
-    matrix = R.prompt_matrix(prompts, templates, jobs.join(first, "_one").drop("_one"))
-    return matrix.select("job_id", "row_no", "rendered")
+    return R.prompt_matrix(prompts, templates, jobs).select("job_id", "row_no", "rendered")
 
 
 @check("first_n_prompts", "SELECT source, doc_id, row_no FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_no FROM documents) WHERE row_no <= 25")

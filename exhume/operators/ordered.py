@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 65536
+WIDTH = 1 << 20
 
 
 def _bucket(pos: str, width: int) -> Column:
@@ -122,7 +122,7 @@ def running_max_before(
 
 
 def merge_intervals(
-    df: DataFrame, group: list[str], start: str, end: str, width: int = WIDTH * 512
+    df: DataFrame, group: list[str], start: str, end: str, width: int = WIDTH * 32
 ) -> DataFrame:
     """(group, lo, hi) unions of half-open intervals; touching ones merge."""
     bounds = df.select(*group, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
