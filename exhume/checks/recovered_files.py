@@ -58,7 +58,7 @@ assigned AS (SELECT s.base_test_case, s.tool_used, s.sub_pos, s.k, g.file_name A
   (SELECT *, row_number() OVER (PARTITION BY base_test_case, tool_used, k ORDER BY sub_pos) AS r FROM akeys) s LEFT JOIN
   (SELECT *, row_number() OVER (PARTITION BY base_test_case, k ORDER BY gt_pos) AS r FROM gkeys) g USING (base_test_case, k, r)),
 flags AS (SELECT m.*, len(m.bset) > 0 AS ss, b_file IS NOT NULL AS "full", f_rows IS NOT NULL AS first, n_file IS NOT NULL AS match,
-    coalesce(n_set < len(m.bset), false) OR coalesce(b_file <> n_file AND b_set < len(m.bset), false) OR coalesce(f_over, false) AS over,
+    coalesce(n_set > 0 AND n_set < len(m.bset), false) OR coalesce(b_file <> n_file AND b_set < len(m.bset), false) OR coalesce(f_over, false) AS over,
     f_rows IS NOT NULL AND b_file IS NULL AS multi,
     CASE WHEN test_set = 'FILE_SIZE_TESTS' THEN EXISTS (SELECT 1 FROM gt g WHERE g.base_test_case = m.base_test_case AND g.size = m.sz)
       WHEN coalesce(n_size = sz, false) THEN true WHEN b_file IS NOT NULL THEN b_size = sz
