@@ -211,8 +211,8 @@ med AS (SELECT vec_id, median(CAST(v AS DOUBLE)) AS m FROM (SELECT vec_id, unnes
 cells AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM vals),
 fp AS (SELECT vec_id, label, CAST(sum(CASE WHEN CAST(v AS DOUBLE) > m THEN CASE WHEN i = 0 THEN -9223372036854775808::HUGEINT ELSE CAST(1 AS HUGEINT) << (63 - i) END ELSE 0 END) AS BIGINT) AS hash
   FROM cells JOIN med USING (vec_id) JOIN vals USING (vec_id) GROUP BY vec_id, label),
-sub AS (SELECT concat('L', CAST(label AS VARCHAR)) AS scope, vec_id AS sub_id, hash FROM fp WHERE vec_id % 2 = 1),
-gt AS (SELECT concat('L', CAST(label AS VARCHAR)) AS scope, vec_id AS gt_id, hash FROM fp WHERE vec_id % 2 = 0),
+sub AS (SELECT concat('L', CAST(label AS VARCHAR)) AS scope, vec_id AS sub_id, xor(hash, vec_id % 8) AS hash FROM fp),
+gt AS (SELECT concat('L', CAST(label AS VARCHAR)) AS scope, vec_id AS gt_id, hash FROM fp),
 near AS (SELECT * FROM (SELECT s.scope, sub_id, gt_id, gt_id AS gt_pos, CAST(bit_count(xor(s.hash, g.hash)) AS BIGINT) AS dist, row_number() OVER (PARTITION BY sub_id ORDER BY bit_count(xor(s.hash, g.hash)), gt_id) AS rank
   FROM sub s JOIN gt g USING (scope)) WHERE rank <= 3)"""
 
@@ -221,8 +221,9 @@ def fingerprints(spark, d):
     fp = view(spark, d, "embeddings").select(
         F.concat(F.lit("L"), F.col("label").cast("string")).alias("scope"), "vec_id", fingerprint64(F.col("embedding")).alias("hash")
     )
-    sub = fp.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", "sub_id")  # odd ids submit, even ids are originals
-    return sub, fp.filter("vec_id % 2 = 0").withColumn("gt_pos", F.col("vec_id")).withColumnRenamed("vec_id", "gt_id")
+    # every vector is an original and, with some bits changed, a submission
+    sub = fp.withColumn("hash", F.col("hash").bitwiseXOR(F.col("vec_id") % 8)).withColumnRenamed("vec_id", "sub_id")
+    return sub, fp.withColumn("gt_pos", F.col("vec_id")).withColumnRenamed("vec_id", "gt_id")
 
 
 @check("fingerprint64", FP + " SELECT vec_id, hash FROM fp")
