@@ -1,8 +1,7 @@
-"""Session settings the operators are written for."""
+"""Session settings the operators are written for, and the folder for intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,12 @@ def build(master: str = "local[*]", app: str = "exhume", **extra: str) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where none is named, one in the warehouse, which all executors share too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
-    configured = tempfile.mkdtemp(prefix="exhume-stage-")
-    spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -46,7 +42,39 @@ def stage(df: DataFrame) -> DataFrame:
     executors cost nothing, and joins are planned with the table's real size. The caller's job owns
     the folder and its clean-up.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Staged tables of one job, in a folder of their own below the shared one.
+
+    ``drop`` removes tables no later step reads; what the result still reads stays for the owner of
+    the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def path(self) -> str:
+        """A new path below the folder."""
+        return f"{self.folder}/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        df.write.parquet(path)
+        staged = self.spark.read.schema(df.schema).parquet(path)
+        self._paths.append((staged, path))
+        return staged
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self._paths:
+            if any(table is x for x in tables):
+                drop_folder(self.spark, path)
+        self._paths = [x for x in self._paths if not any(x[0] is y for y in tables)]
