@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exhume.llm import decontamination, packing, quality_classifier, quality_rules, token_files
+from exhume.llm import decontamination, language_id, near_duplicates, packing, quality_classifier, quality_rules, token_files
 from exhume.llm.text_stats import STOP_WORDS
 from exhume.llm.tokens import vocabulary
 from exhume.session import Scratch
@@ -123,3 +123,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", part_of(4) == 2)
+    model = language_id.train(docs.filter(~F.col("held_out")))
+    return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select(F.col("key").alias("doc_id"), "class_id", "n_links")
+
+
+ORACLES["op7_ngram_jaccard_join"] = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+links AS (
+  SELECT a.r AS u, b.r AS v FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r JOIN sizes s ON s.r = a.r JOIN sizes t ON t.r = b.r
+  GROUP BY a.r, b.r, s.n, t.n HAVING 5 * count(*) >= 4 * (s.n + t.n - count(*))),
+reach(u, v) AS (SELECT r, r FROM docs UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u)
+SELECT d.doc_id, min(e.doc_id) AS class_id, (SELECT count(*) FROM links WHERE links.u = d.r) AS n_links
+FROM docs d JOIN reach ON reach.u = d.r JOIN docs e ON e.r = reach.v GROUP BY d.r, d.doc_id
+"""
