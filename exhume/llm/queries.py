@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exhume.llm import decontamination, language_id, near_duplicates, packing, quality_classifier, quality_rules, token_files
+from exhume.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, token_files
 from exhume.llm.text_stats import STOP_WORDS
 from exhume.llm.tokens import vocabulary
 from exhume.session import Scratch
@@ -149,3 +149,27 @@ reach(u, v) AS (SELECT r, r FROM docs UNION SELECT reach.u, links.v FROM reach J
 SELECT d.doc_id, min(e.doc_id) AS class_id, (SELECT count(*) FROM links WHERE links.u = d.r) AS n_links
 FROM docs d JOIN reach ON reach.u = d.r JOIN docs e ON e.r = reach.v GROUP BY d.r, d.doc_id
 """
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op10_line_dedup"] = rf"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text FROM documents),
+cut AS (SELECT r, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs WHERE text IS NOT NULL),
+lines AS (SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM cut),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY i) AS upto FROM lines),
+runs AS (
+  SELECT a.r, a.i, min(b.i) AS j FROM summed a JOIN summed b ON a.r = b.r AND b.i >= a.i AND b.upto >= a.upto - a.n + {line_dedup.MIN_WORDS}
+  GROUP BY a.r, a.i),
+named AS (SELECT runs.r, runs.i, j, string_agg(t, chr(10) ORDER BY l.i) AS g FROM runs JOIN lines l ON l.r = runs.r AND l.i BETWEEN runs.i AND j GROUP BY runs.r, runs.i, j),
+later AS (SELECT r, i, j FROM named QUALIFY row_number() OVER (PARTITION BY g ORDER BY r, i) > 1),
+gone AS (SELECT DISTINCT l.r, l.i FROM lines l JOIN later k ON l.r = k.r AND l.i BETWEEN k.i AND k.j),
+kept AS (
+  SELECT r, count(*) AS n_lines, count(gone.r) AS n_cut_lines, string_agg(t, chr(10) ORDER BY i) FILTER (WHERE gone.r IS NULL) AS t
+  FROM lines LEFT JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_cut_lines, 0)::BIGINT AS n_cut_lines
+FROM docs LEFT JOIN kept USING (r)
+"""
