@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exhume.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, token_files
+from exhume.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, token_files, warc
 from exhume.llm.text_stats import STOP_WORDS
 from exhume.llm.tokens import vocabulary
 from exhume.session import Scratch
@@ -173,3 +173,19 @@ kept AS (
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_cut_lines, 0)::BIGINT AS n_cut_lines
 FROM docs LEFT JOIN kept USING (r)
 """
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark).path())
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op4_warc"] = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS first FROM page WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM page LEFT JOIN firsts USING (h)
+"""

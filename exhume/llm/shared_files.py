@@ -20,7 +20,7 @@ def new_file(folder: str, suffix: str) -> tuple[str, pyarrow.NativeFile]:
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}")
+    return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def coalesced(ranges: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
