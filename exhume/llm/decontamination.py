@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from exhume.llm.text_stats import fresh
+
 WINDOW = 10
 #: (window, item) pairs of one automaton; further ones go to the next, so that a worker's memory is bounded.
 BLOCK = 20_000
@@ -111,8 +113,8 @@ RESULT = StructType([
 ])
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Every row of ``docs`` with ``hits``: words, hit words, their spans in the original text, and item names sorted as strings.
+def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, result: str = "hits") -> DataFrame:
+    """Every row of ``docs`` with the column ``result``: words, hit words, their spans in the original text, and item names sorted as strings.
 
     The benchmark is a query set: it goes to the workers in blocks of a fixed number of windows, one automaton each, and
     rows pass through all of them at once. A null or empty text has no words; a row without item id marks words but
@@ -133,10 +135,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
             found.append({"n_words": n, "n_hit": hit, "spans": [{"start": a, "end": b} for a, b in spans], "items": names})
         return pa.array(found, kinds)
 
-    return docs.withColumn("hits", hits(F.col(f"`{text}`")))
+    return docs.withColumn(result, hits(F.col(f"`{text}`")))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` without any hit word, with their own columns only."""
-    clean = find_contamination(docs, items, text).filter(F.col("hits.n_hit") == 0)
-    return clean.drop("hits")
+    (name,) = fresh(docs, "hits")
+    return find_contamination(docs, items, text, result=name).filter(F.col(f"{name}.n_hit") == 0).drop(name)

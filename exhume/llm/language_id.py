@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from exhume.llm.text_stats import fresh
+
 UNKNOWN = "und"
 #: What is learned from: so many excerpts per language, of so many letters each; at most so many bytes of all languages.
 EXCERPTS, EXCERPT_CHARS, TOTAL_BYTES, LANGUAGE_BYTES = 96, 300, 240_000, 24_000
@@ -181,7 +183,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     column = F.col(f"`{text}`")
-    name = next(n for i in range(99) if (n := f"_parsed{i}") not in docs.columns)
+    (name,) = fresh(docs, "parsed")
     # without letters the text is taken as empty
     parsed = docs.withColumn(name, parse(F.when(has_letters(column), normalised(column))))
     return parsed.withColumn("lang_pred", F.col(f"{name}.lang")).withColumn("score", F.col(f"{name}.score")).drop(name)

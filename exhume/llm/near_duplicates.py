@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exhume.llm.components import components
+from exhume.llm.text_stats import fresh
 from exhume.session import Scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -229,11 +230,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the row of least key of every class, and all rows without words; columns as they were."""
+    kept_key, kept_hash = fresh(docs, "kept_key", "kept_hash")
     judged = near_duplicates(docs, text, key, threshold)
-    first = judged.filter("has_words").groupBy("class_id").agg(
-        F.min(F.when(F.col("key").eqNullSafe(F.col("class_id")), F.col("th"))).alias("_kept_hash")
-    ).withColumnRenamed("class_id", "_kept_key")
+    least = F.min(F.when(F.col("key").eqNullSafe(F.col("class_id")), F.col("th")))
+    first = judged.filter("has_words").groupBy("class_id").agg(least.alias(kept_hash)).withColumnRenamed("class_id", kept_key)
     worded = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    mine = F.col(f"`{key}`").eqNullSafe(F.col("_kept_key")) & (F.xxhash64(text) == F.col("_kept_hash"))
-    kept = docs.filter(worded).join(first, mine).dropDuplicates(["_kept_key", "_kept_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = F.col(f"`{key}`").eqNullSafe(F.col(kept_key)) & (F.xxhash64(text) == F.col(kept_hash))
+    kept = docs.filter(worded).join(first, mine).dropDuplicates([kept_key, kept_hash]).drop(kept_key, kept_hash)
     return kept.unionByName(docs.filter(~worded))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exhume.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, token_files, warc
+from exhume.llm import decontamination, html_extraction, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, token_files, warc
 from exhume.llm.text_stats import STOP_WORDS
 from exhume.llm.tokens import vocabulary
 from exhume.session import Scratch
@@ -189,3 +189,9 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM page LEFT JOIN firsts USING (h)
 """
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", html_extraction.text_length(F.col("text")).alias("n_chars"))

@@ -22,6 +22,12 @@ STOP_WORDS = (
 )
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := f"_{x}{i}").lower() not in taken) for x in names]
+
+
 def _repeated_words(words: Column) -> Column:
     """Words inside 5-word windows that occur twice or more in the text."""
 
@@ -51,8 +57,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     Words are runs without ASCII white space. ``n_dup_lines`` counts lines with a word that equal an
     earlier line, ``n_repeat_words`` the words in 5-word windows found twice or more.
     """
-    have = set(docs.columns)
-    words, lines, whole = (next(n for i in range(99) if (n := f"_{x}{i}") not in have) for x in ("words", "lines", "text"))
+    words, lines, whole = fresh(docs, "words", "lines", "text")
     full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     # words and lines are columns of their own, so that no expression cuts the text again
     cut = docs.withColumn(whole, full).withColumn(words, F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)))
