@@ -31,7 +31,7 @@ def has_letters(text: Column) -> Column:
 
 
 class Model(NamedTuple):
-    """``table[state + symbol]``: twice the next state, plus 1 where a phrase ends; ``symbol[byte]``; a start state per language."""
+    """``table[state + symbol]``: twice the next state, plus 1 where a phrase begins; ``symbol[byte]``; a start state per language."""
 
     languages: tuple[str, ...]
     table: np.ndarray
@@ -85,9 +85,8 @@ def build(samples: dict[str, bytes]) -> Model:
         root = np.full(width, 2 * base + 1, np.int64)
         for byte, to in moves[0].items():
             root[symbol[byte]] = 2 * (base + to * width) + 1
-        # where a state has no move, the phrase ends and the byte begins the next one
+        # where a state has no move, the byte begins a phrase, as every byte at the start does
         table = np.tile(root, (len(moves), 1))
-        table[0, [symbol[b] for b in moves[0]]] -= 1
         for state, out in enumerate(moves[1:], 1):
             for byte, to in out.items():
                 table[state, symbol[byte]] = 2 * (base + to * width)
@@ -131,16 +130,16 @@ def phrases(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     begin, length = begin[order], length[order]
     symbols = model.symbol[data]
     state = np.repeat(model.starts[:, None], len(begin), 1)
-    ended = np.ones(state.shape, np.int32)  # the phrase that the block's end cuts
+    begun = np.zeros(state.shape, np.int32)
     running = len(length) - np.searchsorted(length[::-1], np.arange(1, BLOCK + 1))
     for step in range(int(length[0]) if len(length) else 0):
         n = running[step]
         move = model.table[state[:, :n] + symbols[begin[:n] + step]]
-        ended[:, :n] += move & 1
+        begun[:, :n] += move & 1
         state[:, :n] = move >> 1
     total = np.zeros((len(sizes), len(model.languages)))
     for k in range(len(model.languages)):
-        total[:, k] = np.bincount(owner[order], weights=ended[k], minlength=len(sizes))
+        total[:, k] = np.bincount(owner[order], weights=begun[k], minlength=len(sizes))
     return total
 
 

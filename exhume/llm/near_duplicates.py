@@ -131,7 +131,7 @@ def candidate_edges(signed: DataFrame) -> DataFrame:
     """Star edges (u, v) of all buckets: each member with the bucket's least."""
     members = signed.filter("hi is not null").select("hi", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("hi").alias("v"), F.max("hi").alias("last")).filter("v <> last")
-    return members.join(buckets.select("band", "v"), "band").filter("hi <> v").select(F.col("hi").alias("u"), "v").distinct()
+    return members.join(buckets.select("band", "v").hint("merge"), "band").filter("hi <> v").select(F.col("hi").alias("u"), "v").distinct()
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
@@ -192,10 +192,10 @@ def compare_cell(cell: pa.Table, threshold: float) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, th, class_id, n_links, has_words) of every row of ``docs``.
+    """(key, th, class_id, n_links, class) of every row of ``docs``.
 
     ``n_links`` counts the other rows whose shingle set has a Jaccard similarity of ``threshold`` or more with the row's own (copies
-    included); rows connected by links are one class, named by its least key. ``th`` is the text's hash. A text without words
+    included); rows connected by links are one class, named by its least key (``class`` is a number of its own, null without words). ``th`` is the text's hash. A text without words
     (null, empty) is alone: its own key and no links. Repeated rows are copies of each other; null keys never name a
     class that has another key. Other columns of ``docs`` are not read. The result reads staged tables.
     """
@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     nodes = texts.join(candidates, texts["hi"] == candidates["node"]).drop("node")
     cells = scratch.write(_cells(nodes))
     bodies = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(text).alias("th"), F.col(f"`{text}`").alias("t"))
-    wanted = cells.select("key", "th").distinct()
+    # one plan at every size: texts meet their cells by a sort-merge join
+    wanted = cells.select("key", "th").distinct().hint("merge")
     same = bodies["key"].eqNullSafe(wanted["key"]) & (bodies["th"] == wanted["th"])
     bodies = bodies.join(wanted, same, "left_semi").dropDuplicates(["key", "th"])
     whole = cells.join(bodies, cells["key"].eqNullSafe(bodies["key"]) & (cells["th"] == bodies["th"])).select("component", "k", "a", "b", "own", "role", "hi", "lo", "copies", "t")
@@ -220,11 +221,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     named = scratch.write(named.select("hi", "lo", "key", F.coalesce("component", "hi").alias("class"), F.col("component").isNotNull().alias("joined"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     # a class of one text has that text's first key; only classes of several need the least of all
     least = named.filter("joined").groupBy("class").agg(F.min("key").alias("least"))
-    named = named.join(least, "class", "left").select("hi", "lo", "n_links", F.when(F.col("joined"), F.col("least")).otherwise(F.col("key")).alias("class_id"))
+    named = named.join(least, "class", "left").select("hi", "lo", "n_links", "class", F.when(F.col("joined"), F.col("least")).otherwise(F.col("key")).alias("class_id"))
     rows = signed.select("key", "th", "hi", "lo").join(named, ["hi", "lo"], "left")
     return rows.select(
         "key", "th", F.when(F.col("hi").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("hi").isNotNull().alias("has_words"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "class",
     )
 
 
@@ -232,8 +233,8 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     """``docs`` with the row of least key of every class, and all rows without words; columns as they were."""
     kept_key, kept_hash = fresh(docs, "kept_key", "kept_hash")
     judged = near_duplicates(docs, text, key, threshold)
-    least = F.min(F.when(F.col("key").eqNullSafe(F.col("class_id")), F.col("th")))
-    first = judged.filter("has_words").groupBy("class_id").agg(least.alias(kept_hash)).withColumnRenamed("class_id", kept_key)
+    least = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "th")).alias("least")
+    first = judged.filter("class is not null").groupBy("class").agg(least).select(F.col("least.key").alias(kept_key), F.col("least.th").alias(kept_hash))
     worded = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     mine = F.col(f"`{key}`").eqNullSafe(F.col(kept_key)) & (F.xxhash64(text) == F.col(kept_hash))
     kept = docs.filter(worded).join(first, mine).dropDuplicates([kept_key, kept_hash]).drop(kept_key, kept_hash)
