@@ -14,19 +14,23 @@ from exhume.operators import reports as P
 from exhume.operators.raw_search import keyword_search_raw
 
 
-@check("to_epoch", """SELECT o_orderkey, CASE o_orderkey % 6
+@check("to_epoch", """SELECT o_orderkey, CASE o_orderkey % 9
  WHEN 0 THEN CAST(epoch(o_orderdate) AS BIGINT) WHEN 1 THEN CAST(epoch(timezone('America/New_York', o_orderdate + INTERVAL 12 HOUR)) AS BIGINT)
- WHEN 2 THEN CAST(epoch(timezone('Asia/Kolkata', o_orderdate + INTERVAL 12 HOUR)) AS BIGINT) WHEN 3 THEN CAST(epoch(o_orderdate) AS BIGINT) + 43200 WHEN 4 THEN CAST(epoch(o_orderdate) AS BIGINT) + 43200 + 14400 END AS epoch FROM orders""")
+ WHEN 2 THEN CAST(epoch(timezone('Asia/Kolkata', o_orderdate + INTERVAL 12 HOUR)) AS BIGINT) WHEN 3 THEN CAST(epoch(o_orderdate) AS BIGINT) + 43200 WHEN 4 THEN CAST(epoch(o_orderdate) AS BIGINT) + 43200 + 14400
+ WHEN 5 THEN CAST(epoch(o_orderdate) AS BIGINT) + 54601 WHEN 6 THEN CAST(epoch(o_orderdate) AS BIGINT) + 54601 - (5 * 3600 + 30 * 60 + 15) WHEN 7 THEN 0 END AS epoch FROM orders""")
 def _(spark, d):
     day = F.col("o_orderdate")
     date = F.date_format(day, "yyyy-MM-dd")
-    k = F.col("o_orderkey") % 6
+    k = F.col("o_orderkey") % 9
     text = (
         F.when(k == 0, F.concat(date, F.lit(" 00:00:00 (GMT)")))
         .when(k == 1, F.concat(date, F.lit(" 12:00:00 (EST)")))
         .when(k == 2, F.concat(F.lit("Mon "), F.date_format(day, "MMM dd"), F.lit(" 12:00:00 IST "), F.date_format(day, "yyyy")))
         .when(k == 3, F.concat(F.lit("Mon "), F.date_format(day, "MMM d"), F.lit(" 12:00:00 "), F.date_format(day, "yyyy")))
         .when(k == 4, F.concat(date, F.lit(" 12:00:00.660434905 -0400")))
+        .when(k == 5, F.concat(date, F.lit(" 15:10:01 Z")))
+        .when(k == 6, F.concat(date, F.lit(" 15:10:01 +053015")))
+        .when(k == 7, F.lit("0000-00-00 00:00:00 (UTC)"))
         .otherwise("soon")
     )
     return view(spark, d, "orders").select("o_orderkey", to_epoch(text).alias("epoch"))
@@ -163,12 +167,26 @@ def _(spark, d):
     return C.keyword_lines(view(spark, d, "documents"), terms, ["doc_id"])
 
 
-@check("keyword_search_raw", """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS b, unnest(range(0, length(hex(text)) // 2)) AS i FROM documents),
+_HEX_HITS = """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS b, unnest(range(0, length(hex(text)) // 2)) AS i FROM documents),
 w AS (SELECT doc_id, i, b, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS b2, lead(b, 2) OVER (PARTITION BY doc_id ORDER BY i) AS b3 FROM b)
-SELECT doc_id, 'Que' AS term, i AS "offset" FROM w WHERE b IN ('71', '51') AND b2 IN ('75', '55') AND b3 IN ('65', '45')""")
+SELECT doc_id, 'Que' AS term, i AS "offset" FROM w WHERE b IN ('71', '51') AND b2 IN ('75', '55') AND b3 IN ('65', '45')
+UNION ALL SELECT doc_id, 'und', i FROM w WHERE b IN ('75', '55') AND b2 IN ('6E', '4E') AND b3 IN ('64', '44')"""
+
+
+@check("keyword_search_raw", _HEX_HITS)
 def _(spark, d):
     blobs = view(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return keyword_search_raw(blobs, ["Que"], "doc_id").drop("snippet")
+    return keyword_search_raw(blobs, ["Que", "und"], "doc_id").drop("snippet")
+
+
+@check("keyword_search_wide", """SELECT doc_id, 'und' AS term, 2 * (i - 1) + doc_id % 2 AS "offset" FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents WHERE length(text) > 2 AND length(text) = strlen(text)) WHERE substring(text, CAST(i AS BIGINT), 3) = 'und'""")
+def _(spark, d):
+    """Texts of one-byte letters as UTF-16, little-endian where the id is even; zero bytes stand between the letters."""
+    docs = view(spark, d, "documents").filter(F.length("text") == F.octet_length("text"))
+    wide = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-16BE"))
+    found = keyword_search_raw(docs.select("doc_id", wide.alias("content")), ["und"], "doc_id", ignore_case=False)
+    # the same letters are met from the zero byte before them too; places of letters are asked for
+    return found.filter(F.col("offset") % 2 == F.col("doc_id") % 2).select("doc_id", "term", "offset")
 
 
 CODE = with_views("responses")

@@ -10,26 +10,20 @@ from exhume.functions.blocks import let
 # Zone labels and the region each one means (daylight saving follows the date).
 ZONES = {
     "GMT": "UTC",
-    "UTC": "UTC",
     "IST": "Asia/Kolkata",
+    "UTC": "UTC",
     "EDT": "America/New_York",
     "EST": "America/New_York",
     "PDT": "America/Los_Angeles",
     "PST": "America/Los_Angeles",
-    "CDT": "America/Chicago",
     "CST": "America/Chicago",
-    "MDT": "America/Denver",
+    "CDT": "America/Chicago",
     "MST": "America/Denver",
+    "MDT": "America/Denver",
 }
 FIELDS = ("year", "month", "day", "hour", "minute", "second")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_CLOCK = r"(\d{2}):(\d{2}):(\d{2})"
-_DATE = r"(\d{4})-(\d{1,2})-(\d{1,2})"
-_LABELLED = rf"^{_DATE} {_CLOCK} \(([\w/+:-]+)\)$"
-_CTIME = rf"^\w{{3}} (\w{{3}})\s+(\d{{1,2}}) {_CLOCK} (?:(\w{{2,4}}) )?(\d{{4}})$"
-_OFFSET = rf"^{_DATE} {_CLOCK}(?:\.\d+)? ([+-])(\d{{2}}):?(\d{{2}})$"
-
 
 def _zone(label: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
@@ -55,29 +49,50 @@ def _seconds(t: Column) -> Column:
 
 
 def to_epoch(text: Column) -> Column:
-    """Epoch seconds, 0 for the all-zero date, null for anything unknown."""
+    """Epoch seconds, 0 for the all-zero date, null for anything unknown.
 
-    def fields(t: Column) -> Column:
-        g = lambda p, i: F.regexp_extract(t, p, i)
+    Known are a date and a clock followed by a label in brackets, by ``Z`` or by an offset (minutes and seconds
+    allowed), and the long form: weekday, month, day, clock, label if any, year.
+    """
 
-        def spelled(parts: list[Column], zone: Column, shift: Column) -> Column:
-            named = [p.alias(f) for p, f in zip(parts, FIELDS)]
+    def fields(t: Column) -> Column:
+        token = lambda i: F.get(t, F.lit(i))
+        shaped = lambda i, pattern: F.coalesce(token(i).rlike(f"^(?:{pattern})$"), F.lit(False))
+        n = F.size(t)
+        clock = r"\d\d:\d\d:\d\d"
+
+        def known(date: list[Column], at: int, zone: Column, shift: Column) -> Column:
+            time = F.split(F.regexp_replace(token(at), r"\..*", ""), ":")
+            named = [c.alias(f) for c, f in zip([*date, *[F.get(time, F.lit(i)) for i in range(3)]], FIELDS)]
             return F.struct(*named, zone.alias("zone"), shift.cast("bigint").alias("shift"))
 
-        names = F.array(*[F.lit(m) for m in MONTHS])
-        month = F.nullif(F.array_position(names, F.lower(g(_CTIME, 1))), F.lit(0)).cast("string")
-        sign = F.when(g(_OFFSET, 7) == "-", -1).otherwise(1)
-        shift = (_int(g(_OFFSET, 8)) * 3600 + _int(g(_OFFSET, 9)) * 60) * sign
+        day = F.split(token(0), "-")
+        dashed = [F.get(day, F.lit(i)) for i in range(3)]
+        dated = (n == 3) & shaped(0, r"\d{4}-\d{1,2}-\d{1,2}")
+        label = F.substring(token(2), 2, F.length(token(2)) - 2)
+        digits = F.regexp_replace(token(2), r"[^\d]", "")
+        pair = lambda i: F.coalesce(_int(F.substring(digits, i, 2)), F.lit(0))
+        sign = F.when(token(2).startswith("-"), -1).otherwise(1)
+        # a weekday, a month, a day, a clock, a label or none, a year
+        month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(token(1))), F.lit(0)).cast("string")
+        spelled = n.isin(5, 6) & shaped(0, r"\w{3}") & shaped(2, r"\d{1,2}") & shaped(3, clock)
+        year = F.element_at(t, -1)
+        spelled = spelled & year.rlike(r"^\d{4}$") & ((n == 5) | shaped(4, r"\w{2,4}"))
+        zone = F.when(n == 6, _zone(token(4))).otherwise(F.lit("UTC"))
+        none = F.lit(0)
         return (
-            F.when(t.rlike(_LABELLED), spelled([g(_LABELLED, i) for i in range(1, 7)], _zone(g(_LABELLED, 7)), F.lit(0)))
+            F.when(dated & shaped(1, clock) & shaped(2, r"\([\w/+:-]+\)"), known(dashed, 1, _zone(label), none))
+            .when(spelled, known([year, month, token(2)], 3, zone, none))
+            .when(dated & shaped(1, clock + r"(?:\.\d+)?") & (token(2) == "Z"), known(dashed, 1, F.lit("UTC"), none))
             .when(
-                t.rlike(_CTIME),
-                spelled([g(_CTIME, 7), month, *[g(_CTIME, i) for i in range(2, 6)]], _zone(g(_CTIME, 6)), F.lit(0)),
+                dated & shaped(1, clock + r"(?:\.\d+)?") & shaped(2, r"[+-]\d\d:?\d\d(?::?\d\d)?"),
+                known(dashed, 1, F.lit("UTC"), (pair(1) * 3600 + pair(3) * 60 + pair(5)) * sign),
             )
-            .when(t.rlike(_OFFSET), spelled([g(_OFFSET, i) for i in range(1, 7)], F.lit("UTC"), shift))
         )
 
     trimmed = F.trim(text)
+    # one-digit days are padded with a second blank
+    tokens = F.filter(F.split(trimmed, " "), lambda x, i: (x != "") | (i < 2))
     return F.when(trimmed.startswith("0000-00-00"), F.lit(0).cast("bigint")).otherwise(
-        let(trimmed, lambda t: let(fields(t), _seconds))
+        let(tokens, lambda t: let(fields(t), _seconds))
     )

@@ -2,54 +2,110 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+CHUNK = 1 << 20
+# Encodings a hit's surroundings are shown in, the first that gives visible text.
+SHOWN_AS = ("utf-8", "utf-16le", "utf-16be")
 
-def _patterns(term: str, ignore_case: bool) -> list[re.Pattern[bytes]]:
-    plain = term.encode("utf-8", "ignore")
-    found = [re.compile(re.escape(plain), re.IGNORECASE if ignore_case else 0)]
-    for spelling in {term, term.lower()} if ignore_case else {term}:
-        found += [re.compile(re.escape(spelling.encode(c, "ignore"))) for c in ("utf-16le", "utf-16be")]
-    if term.isascii():
-        found.append(re.compile(b"".join(re.escape(bytes([b])) + b"\x00?" for b in plain)))
-    return found
 
+def cut_chunks(blobs: DataFrame, key: str, content: str, before: int, behind: int, size: int = CHUNK) -> DataFrame:
+    """(key, at, lead, bytes): chunks of ``size`` bytes with ``before`` and ``behind`` bytes around them; ``lead`` of them come before."""
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.octet_length(content) - 1, F.lit(size).cast("bigint")))
+    starts = blobs.filter(F.octet_length(content) > 0).select(F.col(key).alias("key"), F.col(content).alias("_c"), at.alias("at"))
+    lead = F.least(F.col("at"), F.lit(before)).cast("int")
+    piece = F.substring(F.col("_c"), (F.col("at") - lead + 1).cast("int"), lead + size + behind)
+    return starts.select("key", "at", lead.alias("lead"), piece.alias("bytes"))
 
-def _snippet(data: bytes, at: int, context: int) -> str:
-    piece = data[max(0, at - context) : at + context]
-    for codec in ("utf-8", "utf-16le", "utf-16be"):
-        text = piece.decode(codec, errors="ignore")
-        if text.strip():
-            return text.replace("\r", " ").replace("\n", " ")
-    return piece.hex()
+
+class _Finder:
+    """All keywords at once: one automaton per view of the bytes."""
+
+    def __init__(self, terms: list[str], ignore_case: bool) -> None:
+        self.fold = ignore_case
+        plain, wide, spaced = {}, {}, {}
+        for number, term in enumerate(terms):
+            data = term.encode("utf-8", "ignore")
+            plain.setdefault(data.lower() if ignore_case else data, set()).add(number)
+            for spelling in {term, term.lower()} if ignore_case else {term}:
+                for codec in ("utf-16le", "utf-16be"):
+                    wide.setdefault(spelling.encode(codec, "ignore"), set()).add(number)
+            if term.isascii():
+                spaced.setdefault(data, set()).add(number)
+        self.plain, self.wide, self.spaced = map(self._automaton, (plain, wide, spaced))
+
+    @staticmethod
+    def _automaton(words: dict[bytes, set[int]]) -> ahocorasick.Automaton | None:
+        found = ahocorasick.Automaton()
+        for word, numbers in words.items():
+            if word:
+                found.add_word(word.decode("latin-1"), (len(word), tuple(numbers)))
+        if not len(found):
+            return None
+        found.make_automaton()
+        return found
+
+    @staticmethod
+    def _starts(found: ahocorasick.Automaton | None, data: bytes) -> Iterator[tuple[int, int]]:
+        for end, (length, numbers) in found.iter(data.decode("latin-1")) if found else ():
+            for number in numbers:
+                yield end + 1 - length, number
+
+    def places(self, data: bytes) -> set[tuple[int, int]]:
+        """(start, term number) of every place where a term starts in any spelling."""
+        # a zero byte behind another byte is passed over: letters may be one zero apart
+        values = np.frombuffer(data, np.uint8)
+        kept = np.flatnonzero((values != 0) | (np.concatenate(([0], values[:-1])) == 0))
+        return {
+            *self._starts(self.plain, data.lower() if self.fold else data), *self._starts(self.wide, data),
+            *((int(kept[at]), number) for at, number in self._starts(self.spaced, values[kept].tobytes())),
+        }
+
+
+def search_chunks(chunks: DataFrame, terms: list[str], ignore_case: bool = True, size: int = CHUNK, context: int = 64) -> DataFrame:
+    """(key, term, offset, around, lead) of the places in chunks of ``cut_chunks``; ``around`` has the bytes next to a place."""
+    terms = sorted({t for t in terms if t})
+    names = ["key", "term", "offset", "around"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _Finder(terms, ignore_case)
+        for batch in batches:
+            for i, (at, lead, piece) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "lead", "bytes")))):
+                own = sorted((s, n) for s, n in finder.places(piece) if lead <= s < lead + size)
+                for first in range(0, len(own), 10_000):
+                    part = own[first : first + 10_000]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("key").take(pa.array([i] * len(part))), pa.array([terms[n] for _, n in part], pa.string()),
+                        pa.array([at + s - lead for s, _ in part], pa.int64()), pa.array([piece[max(0, s - context) : s + context] for s, _ in part], pa.binary()),
+                    ], names)
+
+    kind = chunks.schema["key"].dataType.simpleString()
+    return chunks.mapInArrow(search, f"key {kind}, term string, offset bigint, around binary")
+
+
+@F.arrow_udf(StringType())
+def shown(around: pa.Array) -> pa.Array:
+    """Bytes as one line of visible text, or in hex where no encoding gives any."""
+    return pa.array([next((t.translate({10: " ", 13: " "}) for c in SHOWN_AS if (t := b.decode(c, "ignore")).strip()), b.hex()) for b in around.to_pylist()], pa.string())
 
 
 def keyword_search_raw(
     blobs: DataFrame, terms: list[str], key: str, content: str = "content", ignore_case: bool = True, context: int = 64
 ) -> DataFrame:
-    """(key, term, offset, snippet) for every distinct place a keyword starts in the bytes.
+    """(key, term, offset, snippet) for every place a keyword starts in the bytes, overlapping ones included.
 
-    A keyword is met as UTF-8, as UTF-16 in either byte order, or with stray zero bytes between its
-    letters. The keywords are the caller's argument; blobs are searched whole, batch by batch.
+    A keyword is met as UTF-8, as UTF-16 in either byte order, or with a zero byte behind any of its letters. The
+    keywords are the caller's argument. Blobs are searched in chunks that overlap by the longest
+    spelling; snippets are made in a second step, from the bytes around the hits alone.
     """
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = {t: _patterns(t, ignore_case) for t in terms if t}
-        for pdf in frames:
-            for ident, data in zip(pdf["k"], pdf["c"]):
-                for term, patterns in compiled.items():
-                    starts = sorted({m.start() for p in patterns for m in p.finditer(data or b"")})
-                    for i in range(0, len(starts), 10_000):
-                        part = starts[i : i + 10_000]
-                        yield pd.DataFrame({
-                            "k": ident, "term": term, "offset": part, "snippet": [_snippet(data, s, context) for s in part],
-                        })
-
-    kind = blobs.schema[key].dataType.simpleString()
-    flat = blobs.select(F.col(key).alias("k"), F.col(content).alias("c"))
-    return flat.mapInPandas(search, f"k {kind}, term string, offset bigint, snippet string").withColumnRenamed("k", key)
+    longest = 4 * max((len(t) for t in terms), default=1)
+    chunks = cut_chunks(blobs, key, content, context, max(longest, context))
+    found = search_chunks(chunks, terms, ignore_case, context=context)
+    return found.select(F.col("key").alias(key), "term", "offset", shown("around").alias("snippet"))

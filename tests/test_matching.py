@@ -146,10 +146,7 @@ def test_images(spark, tmp_path):
     assert sorted(r["hash"] is not None for r in low) == [False, True]
 
 
-def test_containment_with_many_tokens(spark, monkeypatch):
-    from exhume.operators import contains
-
-    monkeypatch.setattr(contains, "FEW", 0)
+def test_containment_with_many_tokens(spark):
     rng = random.Random(8)
     texts = [(i, "".join(rng.choice("abc") for _ in range(60))) for i in range(20)]
     tokens = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 22))),) for _ in range(60)]
