@@ -64,10 +64,12 @@ def _(spark, d):
 
 @check("read_registry_csv", REG)
 def _(spark, d):
-    """Registry scores from listings written as CSV, one folder per run."""
+    """Registry scores from listings written as CSV, one folder per run; every other tool writes its columns in another order."""
     path = fresh(spark, "registry")
     sub = view(spark, d, "reg_sub").select(F.concat_ws("~", "base_test_case", "tool_used").alias("run"), F.col("path").alias("PATH "), F.col("value").alias("VALUE"), F.lit("x").alias("NOTE"))
-    sub.write.partitionBy("run").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    turned = F.crc32(F.col("run").cast("binary")) % 2 == 1
+    for part in (sub.filter(~turned), sub.filter(turned).select("run", "NOTE", "VALUE", "PATH ")):
+        part.write.mode("append").partitionBy("run").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     run = F.url_decode(F.regexp_extract("file", "run=([^/]*)/", 1))
     back = A.read_registry_csv(spark, path).withColumn("_run", F.split(run, "~"))
     listed = back.select(F.col("_run")[0].alias("base_test_case"), F.col("_run")[1].alias("tool_used"), "path", "value")

@@ -81,11 +81,13 @@ def compare_lockstep(frames: Iterator[pd.DataFrame], keys: list[str], block: int
 def correlate(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Votes per index difference for two bounded lists of sorted block indices of equal content.
 
-    Output rows are differences, at most the sum of the two spans, never pairs.
+    Output rows are differences, at most the sum of the two spans, never pairs. One frame goes out per so many of them.
     """
     for pdf in frames:
-        for row in pdf.to_dict("records"):
-            o, c = np.asarray(row["o_idx"]), np.asarray(row["c_idx"])
+        parts: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for at, (o, c) in enumerate(zip(pdf["o_idx"], pdf["c_idx"])):
+            o, c = np.asarray(o), np.asarray(c)
             low = int(o[0] - c[-1])
             votes = np.zeros(int(o[-1] - c[0]) - low + 1, np.int64)
             first = np.zeros(len(votes), np.int64)
@@ -94,7 +96,16 @@ def correlate(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
                 votes[spot] += 1
                 first[spot] = i
             hit = np.flatnonzero(votes)
-            out = {k: [row[k]] * len(hit) for k in keys}
-            yield pd.DataFrame({
-                **out, "d": hit + low, "votes": votes[hit], "ci": first[hit], "oi": hit + low + first[hit],
-            })
+            parts.append((np.full(len(hit), at), hit + low, votes[hit], first[hit]))
+            size += len(hit)
+            if size > 200_000:
+                yield _voted(pdf, keys, parts)
+                parts, size = [], 0
+        if parts:
+            yield _voted(pdf, keys, parts)
+
+
+def _voted(pdf: pd.DataFrame, keys: list[str], parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    row, d, votes, first = (np.concatenate(x) for x in zip(*parts))
+    named = {k: pdf[k].to_numpy()[row] for k in keys}
+    return pd.DataFrame({**named, "d": d, "votes": votes, "ci": first, "oi": d + first})

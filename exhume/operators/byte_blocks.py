@@ -10,7 +10,6 @@ from exhume.functions.metrics import ratio
 from exhume.operators.ordered import islands, merge_intervals
 from exhume.session import stage
 
-PAIRWISE = 4096  # pairs of equal blocks met row by row; beyond it, indices are correlated in segments
 SEGMENT = 2048
 
 BLOCK = ["size", "hash"]
@@ -67,36 +66,27 @@ def block_hash_join(orig: DataFrame, carved: DataFrame, pair: list[str]) -> Data
 
 
 def _votes(orig: DataFrame, carved: DataFrame, counts: DataFrame, pair: list[str], stride: int) -> DataFrame:
+    """Votes per pair and offset. Indices of equal blocks meet in lists of at most ``SEGMENT``, whatever their number."""
     key = [*pair, *BLOCK]
-    heavy = counts.filter(F.col("o_blocks") * F.col("c_blocks") > PAIRWISE).select(*key)
-    o_rows, c_rows = orig.select(*key, F.col("index").alias("oi")), carved.select(*key, F.col("index").alias("ci"))
-    light = (
-        o_rows.join(heavy, key, "left_anti")
-        .join(c_rows, key)
-        .groupBy(*pair, (F.col("oi") - F.col("ci")).alias("d"))
-        .agg(F.count("*").alias("votes"), F.min(F.struct("ci", "oi")).alias("_f"))
-        .select(*pair, "d", "votes", "_f.ci", "_f.oi")
-    )
 
     def segments(rows: DataFrame, idx: str, out: str) -> DataFrame:
-        seg = F.floor(F.col(idx) / SEGMENT).alias("_seg")
+        listed = rows.select(*key, F.col("index").alias(idx)).join(counts.select(*key), key, "left_semi")
         return (
-            rows.join(heavy, key, "left_semi")
-            .groupBy(*key, seg)
-            .agg(F.array_sort(F.collect_list(idx)).alias(out))  # at most SEGMENT indices
+            listed.groupBy(*key, F.floor(F.col(idx) / SEGMENT).alias("_seg"))
+            .agg(F.array_sort(F.collect_list(idx)).alias(out))
             .drop("_seg")
         )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in orig.select(*pair).schema)
-    dense = (
-        segments(o_rows, "oi", "o_idx")
-        .join(segments(c_rows, "ci", "c_idx"), key)
+    met = (
+        segments(orig, "oi", "o_idx")
+        .join(segments(carved, "ci", "c_idx"), key)
         .select(*pair, "o_idx", "c_idx")
         .mapInPandas(
             lambda frames: correlate(frames, pair), f"{fields}, d bigint, votes bigint, ci bigint, oi bigint"
         )
     )
-    return light.unionByName(dense).groupBy(*pair, "d").agg(
+    return met.groupBy(*pair, "d").agg(
         F.sum("votes").alias("votes"), F.min(F.struct("ci", "oi")).alias("first")
     ).withColumn("offset", F.col("d") * stride)
 

@@ -7,6 +7,8 @@ each group is cut into buckets of ``width`` consecutive positions: the window ru
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,17 @@ def _bucket(pos: str, width: int) -> Column:
     return F.floor(F.col(pos) / F.lit(width)).cast("bigint")
 
 
+def _joined_back(cut: DataFrame, summary: DataFrame, on: list[str], value: str) -> DataFrame:
+    """``cut`` with ``value`` of its bucket; a null group or position is a key like any other."""
+    named = summary.select(*[F.col(c).alias(f"_k_{c}") for c in on], value)
+    same = reduce(lambda a, b: a & b, [cut[c].eqNullSafe(named[f"_k_{c}"]) for c in on])
+    return cut.join(named, same).drop(*[f"_k_{c}" for c in on])
+
+
 def rank_in_group(
     df: DataFrame, group: list[str], pos: str, out: str = "rn", width: int = WIDTH
 ) -> DataFrame:
-    """Exact ``row_number() over (partition by group order by pos)``; group columns must not be null."""
+    """Exact ``row_number() over (partition by group order by pos)``; null positions come first."""
     cut = df.withColumn("_b", _bucket(pos, width))
     inside = Window.partitionBy(*group, "_b").orderBy(pos)
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,8 +39,7 @@ def rank_in_group(
         .select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     return (
-        cut.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, [*group, "_b"])
+        _joined_back(cut.withColumn("_local", F.row_number().over(inside)), offsets, [*group, "_b"], "_before")
         .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_b", "_local", "_before")
     )
@@ -46,20 +54,12 @@ def carry_forward(
         Window.partitionBy(*group, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     )
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        cut.filter(F.col("_v").isNotNull())
-        .groupBy(*group, "_b")
-        .agg(F.max_by("_v", pos).alias("_last"))
-    )
-    carried = (
-        cut.select(*group, "_b")
-        .distinct()
-        .join(carried, [*group, "_b"], "left")
-        .select(*group, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    )
+    # null positions come first, as in the window
+    place = F.struct(F.col(pos).isNotNull(), pos)
+    carried = cut.groupBy(*group, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_last"))
+    carried = carried.select(*group, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     return (
-        cut.withColumn("_local", F.last("_v", ignorenulls=True).over(inside))
-        .join(carried, [*group, "_b"])
+        _joined_back(cut.withColumn("_local", F.last("_v", ignorenulls=True).over(inside)), carried, [*group, "_b"], "_carry")
         .withColumn(out, F.coalesce("_local", "_carry"))
         .drop("_b", "_v", "_local", "_carry")
     )
@@ -114,8 +114,7 @@ def running_max_before(
         .select(*group, "_b", F.max("_m").over(before).alias("_carry"))
     )
     return (
-        cut.withColumn("_local", F.max(value).over(inside))
-        .join(carried, [*group, "_b"])
+        _joined_back(cut.withColumn("_local", F.max(value).over(inside)), carried, [*group, "_b"], "_carry")
         .withColumn(out, F.greatest("_local", "_carry"))
         .drop("_b", "_local", "_carry")
     )

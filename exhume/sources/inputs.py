@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from exhume.functions.text import parse_bool
 from exhume.operators.validate import REQUIRED
+from exhume.session import stage
 
 # Case prefixes that name the task of ground truth loaded without one.
 CASE_PREFIXES = {
@@ -65,12 +66,10 @@ def read_submission_batch(spark: SparkSession, path: str, task: str) -> DataFram
 
     A broken row gets a reason (missing field, invalid JSON) instead of stopping the batch.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
     cell = JSON_CELLS.get(task)
     named = list(BATCH_COLUMNS[task]) + ([cell[0]] if cell else [])
-    have = {c.strip(): c for c in raw.columns}
-    text = lambda c: F.trim(F.col(f"`{have[c]}`")) if c in have else F.lit(None).cast("string")
-    rows = raw.select(F.monotonically_increasing_id().alias("run_pos"), *[text(c).alias(c) for c in named])
+    raw = by_own_header(spark, path, named)
+    rows = raw.select(F.col("pos").alias("run_pos"), *[F.trim(F.col(c)).alias(c) for c in named])
     missing = [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"missing {c}")) for c in REQUIRED[task]]
     if cell is None:
         return rows.withColumn("reason", F.coalesce(*missing))
@@ -104,15 +103,39 @@ def read_submission_json(spark: SparkSession, path: str, repair_test_set: bool =
     return payloads
 
 
+def by_own_header(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """(file, pos, record, missing, wanted columns) of all CSV files below ``path``, each read by its own first record.
+
+    Column order may differ from file to file; names are trimmed. A file lacking a wanted column has it null and
+    in ``missing``. Headers are one record per file, so they meet their rows by a join of files.
+    """
+    width = spark.read.csv(path, header=False, multiLine=True, escape='"', enforceSchema=True).columns
+    # files may have different numbers of columns: the widest header of all files counts
+    texts = spark.read.option("wholetext", "true").text(path).select(F.size(F.split(F.substring_index("value", "\n", 1), ",")).alias("n"))
+    most = max(len(width), texts.agg(F.max("n")).first()[0] or 0)
+    names = [f"_c{i}" for i in range(most)]
+    schema = ", ".join(f"{n} string" for n in names)
+    raw = spark.read.schema(schema).csv(path, header=False, multiLine=True, escape='"', nullValue="\u0001", emptyValue="", mode="PERMISSIVE")
+    # read twice below, and places must be the same both times
+    rows = stage(raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), F.array(*names).alias("record")))
+    heads = rows.groupBy("file").agg(F.min_by("record", "pos").alias("_h"), F.min("pos").alias("_first"))
+    heads = heads.select("file", F.transform("_h", lambda c: F.trim(c)).alias("_h"), "_first")
+    body = rows.join(heads, "file").filter(F.col("pos") > F.col("_first"))
+    place = lambda c: F.array_position("_h", F.lit(c))
+    missing = F.filter(F.array(*[F.when(place(c) == 0, F.lit(c)) for c in wanted]), lambda x: x.isNotNull())
+    return body.select(
+        "file", "pos", "record", missing.alias("missing"), *[F.when(place(c) > 0, F.get("record", (place(c) - 1).cast("int"))).alias(c) for c in wanted]
+    )
+
+
 def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A4: (file, path, value) of registry listings; every column is text and empty cells stay empty."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, nullValue="\u0001", emptyValue="", escape='"', multiLine=True)
-    have = {c.strip(): c for c in raw.columns}
-    for needed in ("PATH", "VALUE"):
-        if needed not in have:
-            raise ValueError(f"registry CSV without a {needed} column")
-    cell = lambda c: F.coalesce(F.col(f"`{have[c]}`"), F.lit(""))
-    return raw.select(F.col("_metadata.file_path").alias("file"), cell("PATH").alias("path"), cell("VALUE").alias("value"))
+    """A4: (file, path, value, reason) of registry listings; every column is text and empty cells stay empty.
+
+    Rows of a file without one of the two columns have a ``reason`` and no value for it.
+    """
+    rows = by_own_header(spark, path, ["PATH", "VALUE"])
+    reason = F.when(F.size("missing") > 0, F.concat(F.lit("missing column "), F.array_join("missing", ", ")))
+    return rows.select("file", F.coalesce("PATH", F.lit("")).alias("path"), F.coalesce("VALUE", F.lit("")).alias("value"), reason.alias("reason"))
 
 
 def file_manifest(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:

@@ -53,6 +53,14 @@ def test_rank_and_carry_with_tiny_buckets(spark):
             assert got[g, pos] == (n, last)
 
 
+def test_null_groups_and_positions_stay(spark):
+    rows = [(None, 1, "a"), (None, 2, None), ("x", None, "b"), ("x", 3, None), ("x", 9, "c"), ("x", 20, None)]
+    df = spark.createDataFrame(rows, "g string, pos long, v string")
+    got = {(r["g"], r["pos"]): (r["rn"], r["last"]) for r in ordered.carry_forward(
+        ordered.rank_in_group(df, ["g"], "pos", "rn", width=7), ["g"], "pos", F.col("v"), "last", width=7).collect()}
+    assert got == {(None, 1): (1, "a"), (None, 2): (2, "a"), ("x", None): (1, "b"), ("x", 3): (2, "b"), ("x", 9): (3, "c"), ("x", 20): (4, "c")}
+
+
 def test_islands_and_intervals_with_tiny_buckets(spark):
     rng = random.Random(2)
     nums = sorted({("g", rng.randrange(200)) for _ in range(140)})
@@ -66,11 +74,10 @@ def test_islands_and_intervals_with_tiny_buckets(spark):
     assert all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_alignment_vote_on_repeated_blocks(spark, monkeypatch, limit):
-    """The segment path and the row path give the same votes and the same first match."""
-    monkeypatch.setattr(byte_blocks, "PAIRWISE", limit)
-    monkeypatch.setattr(byte_blocks, "SEGMENT", 8)
+@pytest.mark.parametrize("segment", [8, 2048])
+def test_alignment_vote_on_repeated_blocks(spark, monkeypatch, segment):
+    """Lists of any length give the same votes and the same first match."""
+    monkeypatch.setattr(byte_blocks, "SEGMENT", segment)
     rng = random.Random(5)
     files = {p: ("".join(rng.choice("ab") for _ in range(40)), "".join(rng.choice("ab") for _ in range(33))) for p in range(6)}
 
