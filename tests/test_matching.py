@@ -40,6 +40,21 @@ def test_assignment_equals_greedy(spark, unique):
     assert got == greedy(sub, gt)
 
 
+def test_independent_collisions_share_their_rounds(spark, monkeypatch):
+    """Many pairs of keys, each with one shared name: no more rounds than for one pair."""
+    rounds = []
+    pair = assign._pair
+    monkeypatch.setattr(assign, "_pair", lambda *a: rounds.append(1) or pair(*a))
+    gt, sub = [], []
+    for i in range(60):
+        gt += [("s", f"a{i}", f"n{i}", 4 * i), ("s", f"b{i}", f"n{i}", 4 * i + 1), ("s", f"b{i}", f"m{i}", 4 * i + 2)]
+        sub += [("r", "s", f"a{i}", 2 * i), ("r", "s", f"b{i}", 2 * i + 1)]
+    s = spark.createDataFrame(sub, "run string, scope string, key string, sub_pos long")
+    g = spark.createDataFrame(gt, "scope string, key string, file_name string, gt_pos long")
+    got = {(r["run"], r["sub_pos"]): r["mapped"] for r in assign.assign_unique(s, g, ["run"], ["scope"]).collect()}
+    assert got == greedy(sub, gt) and len(rounds) <= 3
+
+
 def test_rank_and_carry_with_tiny_buckets(spark):
     rng = random.Random(1)
     rows = [(rng.choice("xyz"), i, rng.choice([None, f"v{i}"])) for i in rng.sample(range(300), 120)]
