@@ -76,10 +76,28 @@ def _(spark, d):
     return registry.registry_score(listed, view(spark, d, "reg_gt"))
 
 
-@check("file_manifest")
+@check("file_manifest", """SELECT concat('s_suppkey=', CAST(s_suppkey AS VARCHAR)) AS folder, strlen(s_name) + 1 AS size_bytes, 'text/plain' AS mime, sha256(concat(s_name, chr(10))) AS sha256 FROM supplier""")
 def _(spark, d):
-    """The tables' own files as a recovered file tree."""
-    return A.file_manifest(spark, d).select("name", "size_bytes", "mime", "sha256")
+    """A file tree with one text file per supplier."""
+    path = fresh(spark, "tree")
+    view(spark, d, "supplier").select("s_suppkey", "s_name").repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    found = A.file_manifest(spark, path)
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size_bytes", "mime", "sha256")
+
+
+@check("batch_carving_reasons", """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'empty files_json' WHEN s_suppkey % 3 = 1 THEN 'missing tool_used' END AS reason FROM supplier""")
+def _(spark, d):
+    """Carving runs as batch CSV, a third without any file and a third without tool; the columns of half of them are turned round."""
+    k = F.col("s_suppkey")
+    rows = view(spark, d, "supplier").select(
+        F.concat(F.lit("carv-"), k.cast("string")).alias("base_test_case"), F.when(k % 3 == 1, "").otherwise("t").alias("tool_used"), F.lit("0").alias("write_db"),
+        F.when(k % 3 == 0, "[]").otherwise('["/a/b.jpg"]').alias("files_json"), k.alias("k"),
+    )
+    path = fresh(spark, "carving-batch")
+    rows.filter("k % 2 = 0").drop("k").write.csv(path, header=True, escape='"')
+    rows.filter("k % 2 = 1").select("files_json", "write_db", "tool_used", "base_test_case").write.mode("append").csv(path, header=True, escape='"')
+    back = A.read_submission_batch(spark, path, "file_carving")
+    return back.select(F.substring("base_test_case", 6, 20).cast("bigint").alias("s_suppkey"), "reason")
 
 
 @check("append_results", SS + """

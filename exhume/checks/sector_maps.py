@@ -106,7 +106,9 @@ def _(spark, d):
 
 FIT = SPANS + """,
 cands AS (SELECT unnest([4096, 2048, 1024, 8192, 16384, 32768, 65536, 512]) AS u, unnest(range(0, 8)) AS rank),
-units AS (SELECT gt_pos, c.u, count(DISTINCT x) AS n FROM (SELECT gt_pos, cands.u, unnest(generate_series(CAST(floor((s - 63) / (cands.u / 512)) AS BIGINT), CAST(floor((e - 63) / (cands.u / 512)) AS BIGINT))) AS x FROM spans, cands) c GROUP BY ALL),
+spread AS (SELECT gt_pos, cands.u, CAST(floor((s - 63) / (cands.u / 512)) AS BIGINT) AS a, CAST(floor((e - 63) / (cands.u / 512)) AS BIGINT) AS b FROM spans, cands),
+units AS (SELECT gt_pos, u, CAST(sum(greatest(0, b - greatest(a, coalesce(m + 1, a)) + 1)) AS BIGINT) AS n FROM
+  (SELECT *, max(b) OVER (PARTITION BY gt_pos, u ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM spread) GROUP BY ALL),
 totals AS (SELECT gt_pos, CAST(sum(e - s + 1) AS BIGINT) AS total, any_value(size) AS size, {GCD} AS g FROM spans JOIN r USING (gt_pos) GROUP BY gt_pos),
 aligned AS (SELECT gt_pos, u, max(CASE WHEN (s - 63) % (u // 512) <> 0 THEN 1 ELSE 0 END) AS mis FROM spans, cands GROUP BY ALL),
 scored AS (SELECT gt_pos, u, rank, CASE WHEN n = (size + u - 1) // u THEN 0 ELSE 1 END AS differs, mis, greatest(0, n * (u // 512) - total) AS over, total, size, g FROM units JOIN totals USING (gt_pos) JOIN aligned USING (gt_pos, u) JOIN cands USING (u))"""

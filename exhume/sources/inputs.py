@@ -82,6 +82,8 @@ def read_submission_batch(spark: SparkSession, path: str, task: str) -> DataFram
         empty = F.when(absent, F.lit(f"missing {column}"))
     rows = rows.withColumn("payload", F.from_json(column, kind))
     broken = F.when(F.col("payload").isNull(), F.lit(f"invalid JSON in {column}"))
+    if task == "file_carving":  # a run must name at least one carved file
+        empty = F.coalesce(empty, F.when(F.size("payload") == 0, F.lit(f"empty {column}")))
     if "check_meta" in BATCH_COLUMNS[task]:
         rows = rows.withColumn("check_meta", parse_bool(F.col("check_meta")).cast("string"))
     return rows.withColumn("reason", F.coalesce(*missing, empty, broken))
