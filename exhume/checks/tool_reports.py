@@ -199,9 +199,9 @@ def _(spark, d):
     return view(spark, d, "responses").select("conv_id", "turn", F.inline(F.array(extract_code(F.col("response")))))
 
 
-@check("extract_code_labelled", CODE + f" SELECT conv_id, turn, CASE WHEN py IS NOT NULL THEN 'python' WHEN sh IS NOT NULL THEN 'bash' WHEN an IS NOT NULL THEN 'generic' WHEN regexp_matches(response, 'def |import |class ') THEN 'python' WHEN regexp_matches(response, '#!/bin/bash|echo |sudo |apt-get ') THEN 'bash' ELSE '' END AS kind FROM (SELECT *, {PY} AS py, {SH} AS sh, {ANY} AS an FROM responses)")
+@check("extract_code_labelled", CODE + f" SELECT conv_id, turn, coalesce(py, sh, an, nullif(trim(regexp_extract(response, 'def |import |class ')), ''), nullif(trim(regexp_extract(response, '#!/bin/bash|echo |sudo |apt-get ')), ''), '') AS code, CASE WHEN py IS NOT NULL THEN 'python' WHEN sh IS NOT NULL THEN 'bash' WHEN an IS NOT NULL THEN 'generic' WHEN regexp_matches(response, 'def |import |class ') THEN 'python' WHEN regexp_matches(response, '#!/bin/bash|echo |sudo |apt-get ') THEN 'bash' ELSE '' END AS kind FROM (SELECT *, {PY} AS py, {SH} AS sh, {ANY} AS an FROM responses)")
 def _(spark, d):
-    return view(spark, d, "responses").select("conv_id", "turn", F.inline(F.array(extract_code_labelled(F.col("response"))))).drop("code")
+    return view(spark, d, "responses").select("conv_id", "turn", F.inline(F.array(extract_code_labelled(F.col("response")))))
 
 
 @check("classify_script", CODE + f" SELECT kind, count(*) AS n FROM (SELECT CASE WHEN {STRIP.format('response')} = '' THEN NULL WHEN contains(response, 'bash') THEN 'sh' WHEN contains(response, 'python') OR regexp_matches(response, 'def |import ') THEN 'py' ELSE 'txt' END AS kind FROM responses) GROUP BY 1")

@@ -73,6 +73,20 @@ def to_int(c: Column) -> Column:
     return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
 
 
+# Words that tell scripts apart, and the endings of prompts by script kind.
+PYTHON_WORDS = ("def ", "import ", "class ")
+BASH_WORDS = ("#!/bin/bash", "echo ", "sudo ", "apt-get ")
+PYTHON_SCRIPT_WORDS = ("def ", "import ")
+PROMPT_START = " You should provide a "
+PROMPT_END = {"python": " code to achieve this task.  import ", "other": " code to achieve this task. #!/bin/bash"}
+
+
+def _first_word(text: Column, words: tuple[str, ...]) -> Column:
+    """The word that comes first in the text; null if none does."""
+    found = F.array(*[F.struct(F.nullif(F.instr(text, w), F.lit(0)).alias("at"), F.lit(w).alias("word")) for w in words])
+    return F.array_min(F.filter(found, lambda x: x["at"].isNotNull()))["word"]
+
+
 def _fenced(text: Column, label: str) -> Column:
     # whether a block exists matters, not only its content: an empty block is a match too
     pattern = f"(?s)```{label}(.*?)```"
@@ -102,8 +116,7 @@ def extract_code_labelled(text: Column) -> Column:
         F.arrays_zip(labels.alias("label"), bodies.alias("body")), lambda b: b["label"] != ""
     )
     hit = F.get(first, F.lit(0))
-    python_word = blank_to_null(F.regexp_extract(text, r"(def |import |class )", 1))
-    bash_word = blank_to_null(F.regexp_extract(text, r"(#!/bin/bash|echo |sudo |apt-get )", 1))
+    python_word, bash_word = _first_word(text, PYTHON_WORDS), _first_word(text, BASH_WORDS)
     generic = _fenced(text, "")
     return F.struct(
         F.coalesce(
@@ -121,10 +134,11 @@ def extract_code_labelled(text: Column) -> Column:
 
 def classify_script(code: Column) -> Column:
     """C11: file kind of a script; null for blank code, which is skipped."""
+    python = F.contains(code, F.lit("python")) | _first_word(code, PYTHON_SCRIPT_WORDS).isNotNull()
     return (
         F.when(F.trim(code, F.lit(" \t\n\r\f\v")) == "", F.lit(None).cast("string"))
         .when(F.contains(code, F.lit("bash")), "sh")
-        .when(F.contains(code, F.lit("python")) | code.rlike("def |import "), "py")
+        .when(python, "py")
         .otherwise("txt")
     )
 
@@ -137,10 +151,8 @@ def render_prompt(template: Column, prompt: Column, path: Column, suffix: Column
 
 def script_suffix(script_type: Column) -> Column:
     """The fixed ending of a prompt for each script kind."""
-    head = F.concat(F.lit(" You should provide a "), script_type)
-    return F.when(
-        script_type == "python", F.concat(head, F.lit(" code to achieve this task.  import "))
-    ).otherwise(F.concat(head, F.lit(" code to achieve this task. #!/bin/bash")))
+    end = F.when(script_type == "python", PROMPT_END["python"]).otherwise(PROMPT_END["other"])
+    return F.concat(F.lit(PROMPT_START), script_type, end)
 
 
 def derive_case(image_name: Column) -> Column:
