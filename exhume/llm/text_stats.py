@@ -28,6 +28,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(n for i in range(len(taken) + 1) if (n := f"_{x}{i}").lower() not in taken) for x in names]
 
 
+def hash_below(wanted: int, rows: int) -> int:
+    """Bound below which so many of ``rows`` 64-bit hashes are to be expected, with room to spare.
+
+    Picks the rows of least hash without every task handing in its own candidates, which would grow with the tasks.
+    """
+    share = min(1.0, (2 * wanted + 200) / max(rows, 1))
+    return min(2**63 - 1, int(-(2**63) + share * 2**64))
+
+
 def _repeated_words(words: Column) -> Column:
     """Words inside 5-word windows that occur twice or more in the text."""
 

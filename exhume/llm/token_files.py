@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exhume.llm.shared_files import Reader, new_file, opened, runs
+from exhume.llm.text_stats import hash_below
 from exhume.llm.tokens import encoder
 from exhume.session import Scratch
 
@@ -48,8 +49,8 @@ def train_dictionary(docs: DataFrame, text: str, vocabulary: str, end: int) -> t
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     place = F.pmod(F.xxhash64(whole), F.greatest(F.length(whole) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     sampled = docs.select(F.xxhash64(whole).alias("h"), F.substring(whole, place, F.lit(SAMPLE_CHARS)).alias("t"))
-    texts = [r.t for r in sampled.orderBy("h", "t").limit(SAMPLE_DOCUMENTS).collect()]
-    samples = [serialised(coder.encode(t), width) for t in dict.fromkeys(texts)]
+    low = sampled.filter(F.col("h") <= hash_below(SAMPLE_DOCUMENTS, docs.count())).groupBy("h").agg(F.min("t").alias("t"))
+    samples = [serialised(coder.encode(r.t), width) for r in low.orderBy("h").limit(SAMPLE_DOCUMENTS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), width
     except (zstandard.ZstdError, ValueError):
