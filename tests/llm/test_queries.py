@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from pathlib import Path
 
 import pytest
@@ -54,7 +55,7 @@ def test_main_text_of_every_page(spark):
     assert len(got) == len(pages)
     for r in got:
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
-        parts = (" ".join(re.sub(r"<[^>]*>", "", x).split()) for x in re.split(r"</?(?:p|h1|br)>", article))
+        parts = (" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", article))
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
 
 
