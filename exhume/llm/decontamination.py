@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from exhume.llm.text_stats import fresh
+from exhume.llm.worker import held
 
 WINDOW = 10
 #: (window, item) pairs of one automaton; further ones go to the next, so that a worker's memory is bounded.
@@ -65,15 +67,9 @@ class Automaton:
         return list(self.found.iter(text)) if self.items else []
 
 
-_HELD: dict[int, Automaton] = {}
-
-
-def _automaton(block: Broadcast) -> Automaton:
+def _automaton(name: str, block: Broadcast) -> Automaton:
     """A worker holds one automaton at a time; with one block (the usual case) it is made once."""
-    if id(block) not in _HELD:
-        _HELD.clear()
-        _HELD[id(block)] = Automaton(block.value)
-    return _HELD[id(block)]
+    return held(("automaton", name), lambda: Automaton(block.value))
 
 
 def scan(data: bytes, automata: Iterator[Automaton]) -> tuple[int, int, list[tuple[int, int]], list[str]]:
@@ -121,7 +117,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     names no item; with an empty benchmark nothing is hit; repeated rows are treated alike.
     """
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in _blocks(item_windows(items, item, item_text, window))]
+    # workers outlive queries, so every block has a name that no other ever has
+    blocks = [(uuid.uuid4().hex, context.broadcast(b)) for b in _blocks(item_windows(items, item, item_text, window))]
     kinds = pa.struct([
         ("n_words", pa.int64()), ("n_hit", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())),
@@ -131,7 +128,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     def hits(texts: pa.Array) -> pa.Array:
         found = []
         for value in texts.cast(pa.binary()):
-            n, hit, spans, names = scan(value.as_py() or b"", (_automaton(b) for b in blocks))
+            n, hit, spans, names = scan(value.as_py() or b"", (_automaton(name, b) for name, b in blocks))
             found.append({"n_words": n, "n_hit": hit, "spans": [{"start": a, "end": b} for a, b in spans], "items": names})
         return pa.array(found, kinds)
 

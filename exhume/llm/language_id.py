@@ -17,8 +17,8 @@ UNKNOWN = "und"
 EXCERPTS, EXCERPT_CHARS, TOTAL_BYTES, LANGUAGE_BYTES = 96, 300, 240_000, 24_000
 #: A text is parsed in blocks of so many bytes side by side; each block begins a new phrase.
 BLOCK = 512
-#: Bytes of texts that are parsed at once.
-AT_ONCE = 4 << 20
+#: Bytes and rows of texts that are parsed at once.
+AT_ONCE, ROWS_AT_ONCE = 2 << 20, 500
 
 
 def normalised(text: Column) -> Column:
@@ -183,7 +183,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def parse(texts: pa.Array) -> pa.Array:
-        langs, scores = judge(held.value, texts.fill_null(""))
+        langs, scores = [], []
+        for at in range(0, len(texts), ROWS_AT_ONCE):  # what is made along the way stays small
+            more = judge(held.value, texts.slice(at, ROWS_AT_ONCE).fill_null(""))
+            langs += more[0]
+            scores += more[1]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     column = F.col(f"`{text}`")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from exhume.operators.components import components
 from exhume.llm.text_stats import fresh
+from exhume.llm.worker import held
 from exhume.session import Scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -28,7 +29,7 @@ ROWS, RECALL = 6, 0.99999
 BLOCK = 256
 #: Sets whose sizes differ by more than this factor cannot reach the threshold (1.25, with room for rounding).
 SIZE_STEP = 1.3
-CACHED = 400_000
+CACHED = 250_000
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -36,17 +37,14 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-_WORD_HASHES: dict[bytes, int] = {}
+class _WordHashes(dict):
+    """64-bit hashes of words; emptied when full."""
 
-
-def _word_hash(word: bytes) -> int:
-    value = _WORD_HASHES.get(word)
-    if value is None:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(_WORD_HASHES) >= CACHED:
-            _WORD_HASHES.clear()
-        _WORD_HASHES[word] = value
-    return value
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +63,7 @@ def shingles(text: bytes) -> np.ndarray:
     words = text.split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    hashed = np.fromiter(map(held("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     if len(words) < SHINGLE:
         hashed = np.concatenate([hashed, np.full(SHINGLE - len(words), len(words), np.uint64)])
     n = len(hashed) - SHINGLE + 1

@@ -9,6 +9,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from exhume.llm.worker import held
+
 #: Entries a worker's caches hold before they start anew; long chunks are never kept.
 CACHED, LONGEST = 300_000, 64
 #: Letters of Latin-1 with ASCII marks behind them: such a chunk falls into exactly these two pre-tokens.
@@ -70,11 +72,6 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
