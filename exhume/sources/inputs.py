@@ -111,10 +111,11 @@ def by_own_header(spark: SparkSession, path: str, wanted: list[str]) -> DataFram
     Column order may differ from file to file; names are trimmed. A file lacking a wanted column has it null and
     in ``missing``. Headers are one record per file, so they meet their rows by a join of files.
     """
-    width = spark.read.csv(path, header=False, multiLine=True, escape='"', enforceSchema=True).columns
-    # files may have different numbers of columns: the widest header of all files counts
-    texts = spark.read.option("wholetext", "true").text(path).select(F.size(F.split(F.substring_index("value", "\n", 1), ",")).alias("n"))
-    most = max(len(width), texts.agg(F.max("n")).first()[0] or 0)
+    # files may have different numbers of columns: the widest first line of all files counts
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("pos")]
+    starts = spark.read.text(path).select("value", *place).filter("at = 0")
+    heads = starts.groupBy("file").agg(F.min_by("value", "pos").alias("head"))
+    most = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
     names = [f"_c{i}" for i in range(most)]
     schema = ", ".join(f"{n} string" for n in names)
     raw = spark.read.schema(schema).csv(path, header=False, multiLine=True, escape='"', nullValue="\u0001", emptyValue="", mode="PERMISSIVE")
