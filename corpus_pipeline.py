@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, later copies of repeated line runs cut out of their texts."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return line_dedup.dedup_lines(docs, whole_runs=True).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -420,6 +420,33 @@ def test_later_copies_of_runs_go(docs, none, least):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def brute_whole_runs(texts, least):
+    """Lines left of texts in order: gone is every line of a run that starts earlier too."""
+    lines = [t.split("\n") for t in texts]
+    starts, gone = [(d, i) for d, x in enumerate(lines) for i in range(len(x))], [set() for _ in texts]
+    for k, (d, i) in enumerate(starts):
+        for e, j in starts[:k]:
+            n = 0
+            while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n] == lines[e][j + n]:
+                n += 1
+            if sum(len(words_of(x)) for x in lines[d][i : i + n]) >= least:
+                gone[d] |= {*range(i, i + n)}
+    return ["\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d in range(len(texts))]
+
+
+def test_whole_runs_go(spark):
+    a, b = prose(70, 60), prose(71, 5)
+    draw = random.Random(4)
+    pool = [" ".join("w" * (n + 1) for _ in range(n)) for n in (0, 1, 3, 5, 8)]
+    drawn = ["\n".join(draw.choice(pool) for _ in range(draw.randrange(1, 25))) for _ in range(12)]
+    for texts, least in (([f"{a}\n{b}\nx", f"y\n{a}\n{b}\nz", f"{b}\n{a}\n\n{b}"], 50), (drawn, 10)):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame, min_words=least, whole_runs=True).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_whole_runs(texts, least)
+        if least == 50:
+            assert got[1] == "y\nz"
+
+
 # --- pages
 
 
