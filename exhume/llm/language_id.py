@@ -70,18 +70,21 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 def build(samples: dict[str, bytes]) -> Model:
-    """Automata of all languages in one table; every language is given the same number of bytes."""
+    """Automata of all languages in one table, each of its own sample; what short samples leave of ``TOTAL_BYTES`` goes to the others."""
     languages = tuple(sorted(x for x, data in samples.items() if data))
     if not languages:
         return Model((), np.zeros(0, np.int32), np.zeros(256, np.int32), np.zeros(0, np.int32), np.zeros(0))
-    limit = min(LANGUAGE_BYTES, TOTAL_BYTES // len(languages), min(len(samples[x]) for x in languages) if len(languages) > 1 else LANGUAGE_BYTES)
-    seen = sorted(set(b"".join(samples[x][:limit] for x in languages)))
+    used, room = {}, TOTAL_BYTES
+    for nth, x in enumerate(sorted(languages, key=lambda x: len(samples[x]))):
+        used[x] = samples[x][: min(LANGUAGE_BYTES, max(room // (len(languages) - nth), 1))]
+        room -= len(used[x])
+    seen = sorted(set(b"".join(used.values())))
     width = len(seen) + 1  # the last symbol stands for every byte that no language has
     symbol = np.full(256, len(seen), np.int32)
     symbol[seen] = np.arange(len(seen))
     tables, starts, base = [], [], 0
     for language in languages:
-        moves = suffix_automaton(samples[language][:limit])
+        moves = suffix_automaton(used[language])
         root = np.full(width, 2 * base + 1, np.int64)
         for byte, to in moves[0].items():
             root[symbol[byte]] = 2 * (base + to * width) + 1
@@ -93,7 +96,8 @@ def build(samples: dict[str, bytes]) -> Model:
         tables.append(table.ravel())
         starts.append(base)
         base += len(moves) * width
-    weights = np.full(len(languages), math.log2(max(limit, 2)))
+    # a phrase costs its place in the sample, and never less than a byte spelt out
+    weights = np.array([max(math.log2(len(used[x])), 8.0) for x in languages])
     return Model(languages, np.concatenate(tables).astype(np.int32), symbol, np.array(starts, np.int32), weights)
 
 

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -182,6 +183,16 @@ def test_languages_on_held_out_texts(spark, docs, none):
     assert language_id.predict(none, model).count() == 0
 
 
+def test_short_sample_of_one_language_leaves_the_others(spark):
+    draw = random.Random(5)
+    texts = {c: [" ".join("".join(draw.choice(letters) for _ in range(5)) for _ in range(50)) for _ in range(40)] for c, letters in (("x", "abdekn"), ("y", "abdeko"))}
+    rows = [(t, c) for c, all_of in texts.items() for t in all_of[:30]] + [("ok", "xx")]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ("x", "xx", "y") and model.weights[0] > 12 and model.weights[2] > 12
+    for c in ("x", "y"):
+        assert language_id.judge(model, pa.array(texts[c][30:]))[0] == [c] * 10
+
+
 # --- archives
 
 
