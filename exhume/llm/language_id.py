@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exhume.llm.text_stats import fresh, hash_below
+from exhume.session import Scratch
 
 UNKNOWN = "und"
 #: What is learned from: so many excerpts per language, of so many letters each; at most so many bytes of all languages.
@@ -108,16 +109,21 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     many at any size, so a language with most of the rows is no burden.
     """
     clean = labelled.select(F.col(lang).alias("lang"), normalised(F.col(text)).alias("t")).filter(F.col("lang").isNotNull() & has_letters(F.col("t")))
-    counts = {r.lang: r.n for r in labelled.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    hashed = clean.withColumn("h", F.xxhash64("t"))
+    place = F.pmod(F.col("h"), F.greatest(F.length("t") - EXCERPT_CHARS, F.lit(0)) + 1).cast("int") + 1
+    # texts are read once; what is counted and picked afterwards are excerpts
+    scratch = Scratch(labelled.sparkSession)
+    excerpts = scratch.write(hashed.select("lang", "h", F.substring(F.col("t"), place, F.lit(EXCERPT_CHARS)).alias("t")))
+    counts = {r.lang: r.n for r in excerpts.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
+        scratch.drop(excerpts)
         return build({})
     # of each language only hashes that can be among its least
     bounds = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, hash_below(EXCERPTS, n))])
-    hashed = clean.withColumn("h", F.xxhash64("t")).filter(F.col("h") <= F.element_at(bounds, F.col("lang")))
-    place = F.pmod(F.col("h"), F.greatest(F.length("t") - EXCERPT_CHARS, F.lit(0)) + 1).cast("int") + 1
-    cut = hashed.select("lang", "h", F.substring(F.col("t"), place, F.lit(EXCERPT_CHARS)).alias("t")).groupBy("lang", "h").agg(F.min("t").alias("t"))
+    cut = excerpts.filter(F.col("h") <= F.element_at(bounds, F.col("lang"))).groupBy("lang", "h").agg(F.min("t").alias("t"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     rows = cut.withColumn("nth", nth).filter(F.col("nth") <= EXCERPTS).collect()
+    scratch.drop(excerpts)
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.nth)):
         samples.setdefault(r.lang, []).append(r.t)

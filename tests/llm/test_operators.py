@@ -193,6 +193,17 @@ def test_short_sample_of_one_language_leaves_the_others(spark):
         assert language_id.judge(model, pa.array(texts[c][30:]))[0] == [c] * 10
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    rows = [(i, prose(i, 40)) for i in range(20)]
+    few = spark.createDataFrame(rows, "i bigint, text string")
+    many = spark.range(200_000).select((F.col("id") % 20).alias("i")).join(F.broadcast(few), "i").select("text", F.lit("y").alias("lang"))
+    empty = spark.range(200_000).select(F.lit(None).cast("string").alias("text"), F.lit("z").alias("lang"))
+    lone = spark.createDataFrame([("abc abd", "z"), ("...", "w")], "text string, lang string")
+    model = language_id.train(many.unionByName(empty).unionByName(lone))
+    assert model.languages == ("y", "z")
+    assert model.weights[0] >= math.log2(0.9 * sum(min(len(t), language_id.EXCERPT_CHARS) for _, t in rows))
+
+
 # --- archives
 
 
