@@ -486,6 +486,23 @@ def test_declared_articles():
     assert html_extraction.assemble(found, set()) == "A & B\none twothree four\nfive six\nx\ny\nlast"
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<body class="has-sidebar">{}</body>', '<html class="no-comments"><body class="sticky-header" id="menu">{}</body></html>', '<div id="page" class="no-comments">{}</div>',
+        "<body><form action='/'><div>{}</div></form></body>", '<body class="has-sidebar"><form><div class="with-menu">{}</div></form></body>',
+    ],
+)
+def test_names_of_wrappers_drop_nothing(wrap):
+    text = lambda inner: html_extraction.assemble(html_extraction.blocks(wrap.format(inner)), set())
+    story, rest = prose(1, 40), '<nav>n</nav><div class="related"><article>card</article></div><div class="comments"><article class="comment">c</article></div>'
+    for tag in ("article", "main"):
+        assert text(f"{rest}<{tag}><p>{story}</p><div class='share'>s</div><form>f</form></{tag}>{rest}") == story
+    assert text(f"<nav>n</nav><article class='post with-sidebar'><p>{story}</p></article><div class='share'>s</div>") == story
+    assert text(f"<main><h1>Title</h1><div class='has-sidebar'><article>{story}</article></div></main>") == f"Title\n{story}"
+    assert text(f"<nav>n</nav><div><p>{story}</p></div><div class='share'>s</div>") == story
+
+
 def test_shared_runs_of_a_host_go(spark):
     nav, foot = "Home News Sport Weather Travel Contact", "All rights reserved by the example company of nowhere"
     rows = [(i, f"http://h.example/{i}", page(f"<p>{prose(i, 30)}</p>", nav, foot)) for i in range(5)]
