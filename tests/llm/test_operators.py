@@ -516,6 +516,21 @@ def test_shared_runs_of_a_host_go(spark):
     assert html_extraction.extract(pages.filter("false")).count() == 0
 
 
+def test_near_copied_open_pages_stay(spark):
+    nav, foot = "Home News Sport Weather Travel Contact", "All rights reserved by the example company of nowhere"
+    told = lambda i, ad: page(f"<div>{prose(i, 120)} {ad}</div>", nav, foot)
+    rows = [(i, "http://h.example/", told(i, "x")) for i in range(8)] + [(8, "http://h.example/", told(0, "y"))]
+    # four near copies beside others, a host of two near copies, a host of nothing else
+    rows += [(10 + i, "http://h.example/", told(20, f"ad{i}")) for i in range(4)]
+    rows += [(20 + i, "http://two.example/", told(21, f"ad{i}")) for i in range(2)]
+    rows += [(30 + i, "http://all.example/", told(22, f"ad{i}")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    assert all(got[i] == f"{prose(i, 120)} x" for i in range(8)) and got[8] == f"{prose(0, 120)} y"
+    assert all(got[10 + i] == f"{prose(20, 120)} ad{i}" for i in range(4))
+    assert all(prose(n, 120) in got[i] for n, ids in ((21, (20, 21)), (22, range(30, 35))) for i in ids)
+
+
 def test_ranks_tell_equal_prefixes():
     draw = random.Random(2)
     streams = [[[draw.choice("ab") for _ in range(draw.randrange(0, 9))] for _ in range(4)] for _ in range(60)]
