@@ -182,3 +182,15 @@ def test_run_summary_kernel():
 
     assert kernels.run_summary(np.array([]), 4) == (4, 4, 4, 4)
     assert kernels.run_summary(np.array([0, 5]), 6) == (6, 0, 0, 4)
+
+
+def test_wide_search_beside_letters_beyond_ascii(spark):
+    from exhume.operators.raw_search import keyword_search_raw
+
+    texts = ["Grün und blau und \U0001f600und", "été und", "und", "\u0575\u6e00 und 東京und"]
+    blobs = [(i, t.encode("utf-16-le")) for i, t in enumerate(texts)]
+    found = keyword_search_raw(spark.createDataFrame(blobs, "doc_id bigint, content binary"), ["und"], "doc_id", ignore_case=False).collect()
+    want = {(i, len(t[:k].encode("utf-16-le"))) for i, t in enumerate(texts) for k in range(len(t)) if t.startswith("und", k)}
+    # the zero-byte view may meet the same letters from the zero byte before them too
+    got = {(r.doc_id, r.offset) for r in found}
+    assert want <= got and all((i, at) in want or (i, at + 1) in want for i, at in got)
