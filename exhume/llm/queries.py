@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exhume.llm import decontamination, html_extraction, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, token_files, warc
+from exhume.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    line_dedup,
+    near_duplicates,
+    packing,
+    quality_classifier,
+    quality_rules,
+    resampling,
+    simhash,
+    spelling,
+    token_files,
+    warc,
+)
 from exhume.llm.text_stats import STOP_WORDS
 from exhume.llm.tokens import vocabulary
 from exhume.session import Scratch
@@ -195,3 +209,81 @@ FROM page LEFT JOIN firsts USING (h)
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extraction.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", html_extraction.text_length(F.col("text")).alias("n_chars"))
+
+
+@query
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    name = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return joined.select(F.col("key").alias("doc_id"), name, F.col("component").alias("component_id"))
+
+
+@query
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+# CRC-32 of the bytes of distinct texts: the remainders of all bytes come from the polynomial, and a fold goes through the bytes
+_CRC = """
+crc_step AS (
+  SELECT list(r ORDER BY b) AS crc_table FROM (
+    SELECT b, list_reduce([b::BIGINT] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r
+    FROM range(256) x(b))),
+crc_bytes AS (SELECT t, hex(encode(t)) AS h FROM to_hash),
+crcs AS (
+  SELECT t, xor(list_reduce([4294967295] || [('0x' || h[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, len(h) // 2 + 1)],
+    lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM crc_bytes, crc_step)"""
+
+ORACLES["op12_target_resampling"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+found AS (SELECT r, unnest(w) AS t FROM docs),
+wanted AS (SELECT unnest({_WORDS}) AS t FROM benchmark),
+to_hash AS (SELECT t FROM found UNION SELECT t FROM wanted),{_CRC},
+s AS (SELECT crc % 10000 AS b, count(*) AS n FROM found JOIN crcs USING (t) GROUP BY b),
+t AS (SELECT crc % 10000 AS b, count(*) AS n FROM wanted JOIN crcs USING (t) GROUP BY b),
+gain AS (
+  SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM range(10000) x(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+means AS (SELECT r, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM found JOIN crcs USING (t) JOIN gain ON crc % 10000 = b GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM docs LEFT JOIN means USING (r)),
+ranks AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN ranks USING (r)
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id || ':' || w AS t, w, n FROM (
+    SELECT doc_id, w, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all({_FOLD}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY ALL)),
+to_hash AS (SELECT DISTINCT t FROM runs),{_CRC},
+words AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN w[:crc % length(w)] || w[crc % length(w) + 2:] ELSE w END AS word, sum(n)::BIGINT AS n
+  FROM runs JOIN crcs USING (t) GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (SELECT word, n, i, word[:i] || word[i + 2:] AS less FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.less = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY word),
+judged AS (
+  SELECT word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+led(word, root, next) AS (
+  SELECT word, word, form FROM judged UNION ALL SELECT led.word, led.next, judged.form FROM led JOIN judged ON judged.word = led.next)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, root FROM led WHERE next IS NULL) USING (word)
+"""
