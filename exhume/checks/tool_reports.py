@@ -189,6 +189,31 @@ def _(spark, d):
     return found.filter(F.col("offset") % 2 == F.col("doc_id") % 2).select("doc_id", "term", "offset")
 
 
+# The bytes of all texts as UTF-16, a letter beyond the basic plane as two units; then the three spellings a keyword is met in, byte by byte:
+# as it is, in UTF-16 of either order, and in what remains where a zero byte behind another byte is passed over.
+_UNIT = "lpad(hex({0}), 4, '0')"
+_TURNED = "concat(substring({0}, 3, 2), substring({0}, 1, 2))"
+_LOW, _HIGH, _TAIL = (_UNIT.format(x) for x in ("unicode(c)", "55296 + ((unicode(c) - 65536) >> 10)", "56320 + ((unicode(c) - 65536) & 1023)"))
+_WIDE_HITS = f"""WITH coded AS (SELECT doc_id, list_aggregate(list_transform(string_split(text, ''), lambda c: CASE
+    WHEN doc_id % 2 = 1 AND unicode(c) < 65536 THEN {_LOW} WHEN doc_id % 2 = 1 THEN concat({_HIGH}, {_TAIL})
+    WHEN unicode(c) < 65536 THEN {_TURNED.format(_LOW)} ELSE concat({_TURNED.format(_HIGH)}, {_TURNED.format(_TAIL)}) END), 'string_agg', '') AS h
+  FROM documents WHERE length(text) > 0),
+b AS (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS b, unnest(range(0, length(h) // 2)) AS i FROM coded),
+near AS (SELECT doc_id, i, b, lag(b) OVER w AS b0, concat(b, lead(b) OVER w, lead(b, 2) OVER w) AS three, concat(lead(b, 3) OVER w, lead(b, 4) OVER w, lead(b, 5) OVER w) AS further FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+kept AS (SELECT doc_id, i, concat(b, lead(b) OVER w, lead(b, 2) OVER w) AS three FROM near WHERE b <> '00' OR coalesce(b0, '00') = '00' WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, 'und' AS term, i AS "offset" FROM (
+  SELECT doc_id, i FROM near WHERE three = '756E64' OR (three = '75006E' AND further = '006400') OR (three = '007500' AND further = '6E0064')
+  UNION SELECT doc_id, i FROM kept WHERE three = '756E64')"""
+
+
+@check("keyword_search_utf16", _WIDE_HITS)
+def _(spark, d):
+    """All documents as UTF-16, little-endian where the id is even, and every place that is found."""
+    docs = view(spark, d, "documents")
+    wide = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-16BE"))
+    return keyword_search_raw(docs.select("doc_id", wide.alias("content")), ["und"], "doc_id", ignore_case=False).select("doc_id", "term", "offset")
+
+
 CODE = with_views("responses")
 STRIP = "trim({0}, concat(' ', chr(9), chr(10), chr(13), chr(11), chr(12)))"
 PY, SH, ANY = (f"CASE WHEN regexp_matches(response, '(?s)```{k}(.*?)```') THEN {STRIP.format(f'''regexp_extract(response, '(?s)```{k}(.*?)```', 1)''')} END" for k in ("python", "bash", ""))

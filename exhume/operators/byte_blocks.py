@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from exhume.functions.blocks import let
 from exhume.functions.kernels import correlate
 from exhume.functions.metrics import ratio
+from exhume.operators.chunks import chunked
 from exhume.operators.ordered import islands, merge_intervals
 from exhume.session import stage
 
@@ -26,31 +28,34 @@ def byte_blocks(
 ) -> DataFrame:
     """(keys, index, offset, size, hash) of the blocks of each file.
 
-    The index counts skipped all-zero blocks. Hashes are taken inside the array expression, so a
-    file's bytes are never copied into its block rows.
+    ``files`` are binary cells or chunk rows; these need ``block_size`` bytes behind their own where blocks reach over their ends.
+    The index counts skipped all-zero blocks. Hashes are taken inside the array expression of one chunk, so
+    bytes are never copied into block rows, and an array is as long as a chunk has blocks.
     """
     step = stride or block_size
     if step <= 0 or block_size <= 0:
         raise ValueError("block_size and stride must be positive")
-    length = F.octet_length(content)
+    chunks = chunked(files, keys, content, behind=block_size)
     zeros = F.lit(bytes(block_size))
 
-    def piece(i: Column) -> Column:
-        return F.substring(F.col(content), i * step + 1, F.lit(block_size))
-
-    def block(i: Column) -> Column:
-        size = F.least(F.lit(block_size), length - i * step)
-        zero = piece(i) == F.substring(zeros, F.lit(1), size)
+    def block(data: Column, i: Column) -> Column:
+        size = F.least(F.lit(block_size), F.col("length") - i * step)
+        piece = F.substring(data, (i * step - F.col("at") + 1).cast("int"), F.lit(block_size))
+        zero = piece == F.substring(zeros, F.lit(1), size.cast("int"))
         return F.struct(
-            i.cast("bigint").alias("index"),
-            (i.cast("bigint") * step).alias("offset"),
+            i.alias("index"),
+            (i * step).alias("offset"),
             size.cast("bigint").alias("size"),
-            F.when(~zero if ignore_zero else F.lit(True), F.unhex(F.sha2(piece(i), 256))).alias("hash"),
+            F.when(~zero if ignore_zero else F.lit(True), F.unhex(F.sha2(piece, 256))).alias("hash"),
         )
 
-    count = F.floor((length - 1) / F.lit(step)).cast("int")
-    indices = F.when(length > 0, F.sequence(F.lit(0), count)).otherwise(F.array().cast("array<int>"))
-    rows = files.select(*keys, F.inline(F.transform(indices, block))).filter(F.col("hash").isNotNull())
+    # blocks belong to the chunk in which they begin
+    first = F.ceil(F.col("at") / step)
+    last = F.ceil((F.col("at") + F.col("own")) / step) - 1
+    indices = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    # the bytes are bound once, as every look at the column would copy the chunk
+    blocks = let(F.col("bytes"), lambda data: F.transform(indices, lambda i: block(data, i)))
+    rows = chunks.select(*keys, F.inline(blocks)).filter(F.col("hash").isNotNull())
     return rows if include_partial else rows.filter(F.col("size") == block_size)
 
 

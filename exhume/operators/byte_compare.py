@@ -1,7 +1,7 @@
 """Byte and bit comparison of file pairs.
 
-Files are cut into chunks keyed (pair, chunk); the two sides meet by an equi-join on that key, so one
-huge file is spread over many tasks. A kernel reduces a chunk pair to one small row, and runs that
+Files (binary cells or chunk rows) are brought into pieces keyed (pair, number); the two sides meet by an equi-join on
+that key, so one huge file is spread over many tasks. A kernel reduces a chunk pair to one small row, and runs that
 cross chunk borders are stitched by an ordered fold of (n, prefix, suffix, best) summaries.
 """
 
@@ -14,26 +14,7 @@ from pyspark.sql import functions as F
 
 from exhume.functions.kernels import LOCKSTEP_COLUMNS, compare_lockstep, compare_overlap
 from exhume.functions.metrics import ratio
-
-CHUNK = 1 << 20
-
-
-def chunk_table(
-    files: DataFrame, keys: list[str], content: str, start: Column, out: str, chunk: int = CHUNK
-) -> DataFrame:
-    """(keys, chunk_no, out): the bytes from ``start`` on, in pieces of ``chunk``."""
-    tail = F.greatest(F.octet_length(content) - start, F.lit(0))
-    last = F.floor((tail - 1) / F.lit(chunk)).cast("int")
-    indices = F.when(tail > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    pieces = F.transform(
-        indices,
-        lambda i: F.struct(
-            i.cast("bigint").alias("chunk_no"),
-            F.substring(F.col(content), (start + i * chunk + 1).cast("int"), F.lit(chunk)).alias(out),
-        ),
-    )
-    return files.select(*keys, F.inline(pieces))
-
+from exhume.operators.chunks import CHUNK, chunked, lengths, regrid
 
 def _fields(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
@@ -42,19 +23,18 @@ def _fields(df: DataFrame, keys: list[str]) -> str:
 def byte_compare(
     orig: DataFrame, carved: DataFrame, keys: list[str], offset: str = "offset", chunk: int = CHUNK
 ) -> DataFrame:
-    """Compare with the original shifted by ``offset`` (a column of both sides; 0 = lockstep).
+    """Compare with the original shifted by ``offset`` (one of the ``keys``; 0 = lockstep).
 
     Bytes past the overlap are unequal; bits are compared inside the overlap only. Two empty tails
     have similarity 1.
     """
     zero = F.lit(0).cast("bigint")
     o_start, c_start = F.greatest(F.col(offset), zero), F.greatest(-F.col(offset), zero)
-    sides = orig.select(*keys, F.octet_length("content").cast("bigint").alias("o_bytes"), o_start.alias("orig_start")).join(
-        carved.select(*keys, F.octet_length("content").cast("bigint").alias("c_bytes"), c_start.alias("carved_start")), keys
-    )
-    chunks = chunk_table(orig, keys, "content", o_start, "a", chunk).join(
-        chunk_table(carved, keys, "content", c_start, "b", chunk), [*keys, "chunk_no"]
+    orig, carved = chunked(orig, keys, size=chunk), chunked(carved, keys, size=chunk)
+    sides = lengths(orig, keys, "o_bytes").withColumn("orig_start", o_start).join(
+        lengths(carved, keys, "c_bytes").withColumn("carved_start", c_start), keys
     )
+    chunks = regrid(orig, keys, o_start, "a", chunk).join(regrid(carved, keys, c_start, "b", chunk), [*keys, "chunk_no"])
     row = [*keys, "chunk_no"]
     stats = chunks.mapInPandas(
         partial(compare_overlap, keys=row),
@@ -84,7 +64,7 @@ def byte_compare(
 
 
 def longest_from_list(runs: Column) -> Column:
-    """W3 on an ordered list of summaries: a file read as one row has at most 2048 of them."""
+    """W3 on an ordered list of summaries, one for each chunk of a file."""
     zero = F.lit(0).cast("bigint")
     start = F.struct(zero.alias("cur"), zero.alias("best"))
     step = lambda a, b: F.struct(
@@ -105,13 +85,10 @@ def lockstep_compare(
         raise ValueError("block must be positive and align not negative")
     chunk = max(1, chunk // block) * block  # blocks never straddle chunks
     start = F.lit(align)
-    sizes = left.select(*keys, F.octet_length("content").cast("bigint").alias("size_a")).join(
-        right.select(*keys, F.octet_length("content").cast("bigint").alias("size_b")), keys
-    )
+    left, right = chunked(left, keys, size=chunk), chunked(right, keys, size=chunk)
+    sizes = lengths(left, keys, "size_a").join(lengths(right, keys, "size_b"), keys)
     row = [*keys, "chunk_no"]
-    chunks = chunk_table(left, keys, "content", start, "a", chunk).join(
-        chunk_table(right, keys, "content", start, "b", chunk), row, "full"
-    )
+    chunks = regrid(left, keys, start, "a", chunk).join(regrid(right, keys, start, "b", chunk), row, "full")
     types = ", ".join(f"{c} bigint" for c in LOCKSTEP_COLUMNS)
     stats = chunks.mapInPandas(
         partial(compare_lockstep, keys=row, block=block), f"{_fields(left, keys)}, chunk_no bigint, {types}"

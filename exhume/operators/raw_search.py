@@ -7,10 +7,13 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from exhume.functions.blocks import let
+from exhume.sources.chunks import read_chunks
+
 CHUNK = 1 << 20
 # Encodings a hit's surroundings are shown in, the first that gives visible text.
 SHOWN_AS = ("utf-8", "utf-16le", "utf-16be")
@@ -18,11 +21,15 @@ SHOWN_AS = ("utf-8", "utf-16le", "utf-16be")
 
 def cut_chunks(blobs: DataFrame, key: str, content: str, before: int, behind: int, size: int = CHUNK) -> DataFrame:
     """(key, at, lead, bytes): chunks of ``size`` bytes with ``before`` and ``behind`` bytes around them; ``lead`` of them come before."""
-    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.octet_length(content) - 1, F.lit(size).cast("bigint")))
-    starts = blobs.filter(F.octet_length(content) > 0).select(F.col(key).alias("key"), F.col(content).alias("_c"), at.alias("at"))
-    lead = F.least(F.col("at"), F.lit(before)).cast("int")
-    piece = F.substring(F.col("_c"), (F.col("at") - lead + 1).cast("int"), lead + size + behind)
-    return starts.select("key", "at", lead.alias("lead"), piece.alias("bytes"))
+    starts = F.sequence(F.lit(0), F.octet_length(content) - 1, F.lit(size))
+
+    def piece(data: Column, at: Column) -> Column:
+        lead = F.least(at, F.lit(before))
+        return F.struct(at.cast("bigint").alias("at"), lead.alias("lead"), F.substring(data, at - lead + 1, lead + size + behind).alias("bytes"))
+
+    # bound once, as every look at the column would copy the whole blob
+    pieces = let(F.col(content), lambda data: F.transform(starts, lambda at: piece(data, at)))
+    return blobs.filter(F.octet_length(content) > 0).select(F.col(key).alias("key"), F.inline(pieces))
 
 
 class _Finder:
@@ -109,3 +116,13 @@ def keyword_search_raw(
     chunks = cut_chunks(blobs, key, content, context, max(longest, context))
     found = search_chunks(chunks, terms, ignore_case, context=context)
     return found.select(F.col("key").alias(key), "term", "offset", shown("around").alias("snippet"))
+
+
+def keyword_search_files(
+    spark: SparkSession, folder: str, terms: list[str], ignore_case: bool = True, context: int = 64, size: int = CHUNK
+) -> DataFrame:
+    """(path, term, offset, snippet) over all files below ``folder``, which are read in chunks and may have any size."""
+    longest = 4 * max((len(t) for t in terms), default=1)
+    chunks = read_chunks(spark, folder, size, before=context, behind=max(longest, context)).withColumnRenamed("path", "key")
+    found = search_chunks(chunks.filter("own > 0").select("key", "at", "lead", "bytes"), terms, ignore_case, size, context)
+    return found.select(F.col("key").alias("path"), "term", "offset", shown("around").alias("snippet"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from exhume.functions.text import parse_bool
 from exhume.operators.validate import REQUIRED
 from exhume.session import stage
+from exhume.sources.chunks import file_hashes
 
 # Case prefixes that name the task of ground truth loaded without one.
 CASE_PREFIXES = {
@@ -141,23 +142,27 @@ def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.coalesce("PATH", F.lit("")).alias("path"), F.coalesce("VALUE", F.lit("")).alias("value"), reason.alias("reason"))
 
 
-def file_manifest(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
-    """A5: name, path, size, mime and sha256 of the non-empty files below a folder, tool reports left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A5: name, path, size, mime and sha256 of the non-empty files below a folder, tool reports left out.
+
+    Spark lists the files without reading them; hashes are taken a piece at a time, so files may have any size.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     types = F.create_map(*[F.lit(x) for kv in sorted(mimetypes.types_map.items()) for x in kv])
     suffix = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))
     kept = files.filter(F.col("length") > 0).withColumn("name", name).filter(
         ~F.lower("name").isin(*SKIPPED_FILES) & ~F.lower("name").endswith(".json")
     )
-    return kept.select(
-        "name", "path", F.col("length").alias("size_bytes"),
-        F.coalesce(F.try_element_at(types, suffix), F.lit("application/octet-stream")).alias("mime"),
-        F.sha2("content", 256).alias("sha256"), *(["content"] if with_content else []),
-    )
+    # paths as URIs with an authority, empty for local files
+    place = F.regexp_replace("path", "^file:/+", "file:///")
+    listed = kept.select("name", "path", F.col("length").alias("size_bytes"), place.alias("_place"), F.coalesce(F.try_element_at(types, suffix), F.lit("application/octet-stream")).alias("mime"))
+    return file_hashes(listed, "_place").select("name", "path", "size_bytes", "mime", "sha256")
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Image rows and ``decodes``; a file the image library cannot read has height -1."""
+    """Image rows, ``decodes`` and ``error``; a file the image library cannot read has height -1 and the reason as text."""
     images = spark.read.format("image").option("recursiveFileLookup", "true").load(folder)
-    return images.withColumn("decodes", F.col("image.height") >= 0)
+    decodes = F.col("image.height") >= 0
+    said = F.concat(F.lit("cannot identify image file '"), F.col("image.origin"), F.lit("'"))
+    return images.withColumns({"decodes": decodes, "error": F.when(~decodes, said)})

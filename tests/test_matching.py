@@ -40,19 +40,51 @@ def test_assignment_equals_greedy(spark, unique):
     assert got == greedy(sub, gt)
 
 
+def counted_rounds(monkeypatch):
+    rounds = []
+    judge = assign._undisturbed
+    monkeypatch.setattr(assign, "_undisturbed", lambda *a: rounds.append(1) or judge(*a))
+    return rounds
+
+
+def assigned(spark, sub, gt):
+    s = spark.createDataFrame(sub, "run string, scope string, key string, sub_pos long")
+    g = spark.createDataFrame(gt, "scope string, key string, file_name string, gt_pos long")
+    return {(r["run"], r["sub_pos"]): r["mapped"] for r in assign.assign_unique(s, g, ["run"], ["scope"]).collect()}
+
+
 def test_independent_collisions_share_their_rounds(spark, monkeypatch):
     """Many pairs of keys, each with one shared name: no more rounds than for one pair."""
-    rounds = []
-    pair = assign._pair
-    monkeypatch.setattr(assign, "_pair", lambda *a: rounds.append(1) or pair(*a))
+    rounds = counted_rounds(monkeypatch)
     gt, sub = [], []
     for i in range(60):
         gt += [("s", f"a{i}", f"n{i}", 4 * i), ("s", f"b{i}", f"n{i}", 4 * i + 1), ("s", f"b{i}", f"m{i}", 4 * i + 2)]
         sub += [("r", "s", f"a{i}", 2 * i), ("r", "s", f"b{i}", 2 * i + 1)]
-    s = spark.createDataFrame(sub, "run string, scope string, key string, sub_pos long")
-    g = spark.createDataFrame(gt, "scope string, key string, file_name string, gt_pos long")
-    got = {(r["run"], r["sub_pos"]): r["mapped"] for r in assign.assign_unique(s, g, ["run"], ["scope"]).collect()}
-    assert got == greedy(sub, gt) and len(rounds) <= 3
+    assert assigned(spark, sub, gt) == greedy(sub, gt) and len(rounds) <= 3
+
+
+def test_one_linked_group_takes_the_rounds_of_its_longest_chain(spark, monkeypatch):
+    """One key shares a name with each of 10,000 others: all collide, but nobody waits for more than one."""
+    rounds = counted_rounds(monkeypatch)
+    gt, sub = [], []
+    for i in range(10_000):
+        gt += [("s", "x", f"h{i}", 3 * i), ("s", f"y{i}", f"h{i}", 3 * i + 1), ("s", f"y{i}", f"o{i}", 3 * i + 2)]
+        sub += [("r", "s", "x", 2 * i), ("r", "s", f"y{i}", 2 * i + 1)]
+    got = assigned(spark, sub, gt)
+    assert all(got["r", 2 * i] == f"h{i}" and got["r", 2 * i + 1] == f"o{i}" for i in range(10_000)) and len(rounds) <= 3
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tangled_lists_equal_greedy(spark, seed):
+    rng = random.Random(seed)
+    gt, sub = [], []
+    for scope in ("a", "b"):
+        for key in range(6):
+            gt += [(scope, f"k{key}", f"n{rng.randrange(10)}", 20 * key + i) for i in range(rng.randrange(1, 9))]
+        for run in ("1", "2"):
+            sub += [(scope + run, scope, rng.choice([f"k{rng.randrange(7)}", None]), p) for p in rng.sample(range(100), 30)]
+    want = {k: v for k, v in greedy([(r, s, k or "?", p) for r, s, k, p in sub], gt).items()}
+    assert assigned(spark, sub, gt) == want
 
 
 def test_rank_and_carry_with_tiny_buckets(spark):
