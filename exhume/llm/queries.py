@@ -101,10 +101,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = token_files.write_corpus(docs, Scratch(spark).path(), vocabulary())
-    read = token_files.read_documents(index).join(token_files.global_starts(index), "file")
-    return read.select(
-        F.col("key").alias("doc_id"), (F.col("start") + F.col("base")).alias("start"), "n_tokens", token_files.checksum("ids").alias("ids_crc32")
-    )
+    read = token_files.read_documents(index, checksums=True).join(token_files.global_starts(index), "file")
+    return read.select(F.col("key").alias("doc_id"), (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 @query

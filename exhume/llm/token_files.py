@@ -26,6 +26,8 @@ from exhume.session import Scratch
 
 MAGIC = b"TOKZ1\n"
 HEAD = len(MAGIC) + 32 + 1
+#: Bytes of frames in one file, about.
+FILE_BYTES = 64 << 20
 #: The dictionary is trained on so many documents of least hash, on at most so many characters of each.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 64 << 10
 
@@ -135,11 +137,13 @@ def _dictionary(folder: str, digest: bytes) -> bytes:
     return data
 
 
-def read_documents(index: DataFrame) -> DataFrame:
+def read_documents(index: DataFrame, checksums: bool = False) -> DataFrame:
     """(key, file, start, n_tokens, ids) of indexed documents, by coalesced reads of the rows' byte ranges.
 
-    Rows of a file should come in the order of their offsets (as the index has them); any order is right.
+    Rows of a file should come in the order of their offsets (as the index has them); any order is right. With ``checksums``
+    the rows have ``ids_crc32``, the unsigned CRC-32 of the ids as 32-bit little-endian numbers, instead of the ids themselves.
     """
+    last, last_kind, packed = ("ids_crc32", "bigint", pa.int64()) if checksums else ("ids", "binary", pa.binary())
     kind = index.schema["key"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +158,14 @@ def read_documents(index: DataFrame) -> DataFrame:
                     unpack = zstandard.ZstdDecompressor(**_settings(_dictionary(head.rpartition("/")[0], digest)))
                 order = sorted(range(a, b), key=lambda i: spans[i])
                 data = dict(zip(order, reader.read(head, [spans[i] for i in order])))
-                ids += [restored(unpack.decompress(data[i]), width) for i in range(a, b)]
+                found = (restored(unpack.decompress(data[i]), width) for i in range(a, b))
+                ids += map(zlib.crc32, found) if checksums else found
             columns = [batch.column(c) for c in ("key", "file", "start", "n_tokens")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], ["key", "file", "start", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, packed)], ["key", "file", "start", "n_tokens", last])
         reader.close()
 
     return index.select("key", "file", "start", "n_tokens", "offset", "size").mapInArrow(
-        read, f"key {kind}, file string, start bigint, n_tokens bigint, ids binary"
+        read, f"key {kind}, file string, start bigint, n_tokens bigint, {last} {last_kind}"
     )
 
 
@@ -186,7 +191,9 @@ def write_corpus(docs: DataFrame, folder: str, vocabulary: str, end: int = 2, te
         out.write(dictionary)
     # staged, as dealing rows out by ranges reads them twice
     frames = scratch.write(compress_documents(docs, text, key, vocabulary, end, dictionary, width).withColumn("tie", F.xxhash64("frame")))
-    ordered = frames.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "n_tokens")
+    # the number of files follows from the bytes, as a file is written and read back by one task each
+    total = frames.agg(F.sum(F.octet_length("frame") + 64)).first()[0] or 0
+    ordered = frames.repartitionByRange(max(1, -(-total // FILE_BYTES)), "key", "tie").sortWithinPartitions("key", "tie", "n_tokens")
     index = scratch.write(write_files(ordered, folder, dictionary, width))
     scratch.drop(frames)
     return index
@@ -198,8 +205,3 @@ def global_starts(index: DataFrame) -> DataFrame:
     files = index.groupBy("file").agg(F.min(place).alias("first"), F.sum("n_tokens").alias("n"))
     before = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-
-
-def checksum(ids: str) -> F.Column:
-    """Unsigned CRC-32 of 32-bit little-endian ids."""
-    return F.crc32(F.col(ids))

@@ -238,6 +238,9 @@ def test_coalesced_ranges():
 def test_encoder_equals_the_library():
     library, own = Tokenizer.from_file(vocabulary()), encoder(vocabulary())
     texts = [t or "" for _, t, *_ in corpus()] + ["Don't stop-me'll X'S  a\r\nb\tc", "ÀÖ×÷ Straße İstanbul", "a<|startoftext|>b", "é́ ́x", "9,9 x9y !!'s"]
+    draw = random.Random(4)
+    latin = [chr(i) for i in range(256)] + ["'s", "'ll", "'RE", " ", "\n", "<|", "<|endoftext|>", "a", "é", "1"] * 3
+    texts += ["".join(draw.choice(latin + ["東", "Σ", "ﬁ", "\u0301", "İ", "\u2003"] * (i % 2)) for _ in range(draw.randrange(1, 30))) for i in range(2000)]
     for text in texts:
         assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -351,6 +354,32 @@ def test_blocks_of_the_benchmark_add_up(docs, spark, monkeypatch):
     assert sorted(map(str, decontamination.find_contamination(docs, bench).select("doc_id", "hits").collect())) == whole
 
 
+def test_each_part_is_built_once(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, prose(i, 200)) for i in range(3)], "item_id bigint, text string")
+    parts = decontamination.write_parts(decontamination.item_windows(bench), Scratch(spark), 200)
+    assert len(parts) == 3
+    built = []
+    read = decontamination.read_part
+    monkeypatch.setattr(decontamination, "read_part", lambda path: built.append(path) or read(path))
+    texts = pa.array([prose(i, 200) for i in range(6)] + [None])
+    hit = [[] for _ in range(7)]
+    for part in parts:  # as a worker meets them: batch after batch of one part
+        for _ in range(4):
+            found = decontamination._scanner(part).func(texts).to_pylist()
+        for runs, f in zip(hit, found):
+            runs += f["runs"]
+    assert built == parts
+    assert [sum(r["b"] - r["a"] for r in runs) > 150 for runs in hit] == [True] * 3 + [False] * 4
+    assert decontamination.write_parts(decontamination.item_windows(bench.filter("false")), Scratch(spark), 200) == []
+
+
+def test_runs_of_several_scans_are_joined(spark):
+    runs = [(3, 5, 30, 50), (0, 2, 0, 20), (5, 6, 50, 60), (4, 9, 40, 90), (12, 13, 120, 130), (1, 2, 10, 20)]
+    frame = spark.createDataFrame([(runs,), ([],)], f"r array<{decontamination._RUN}>")
+    got = [[tuple(x) for x in r[0]] for r in frame.select(decontamination.joined_runs(F.col("r"))).collect()]
+    assert got == [[(0, 2, 0, 20), (3, 9, 30, 90), (12, 13, 120, 130)], []]
+
+
 # --- near copies
 
 
