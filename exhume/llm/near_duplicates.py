@@ -27,8 +27,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, RECALL = 6, 0.99999
 #: Nodes of one block; a cell compares two blocks.
 BLOCK = 256
-#: Sets whose sizes differ by more than this factor cannot reach the threshold (1.25, with room for rounding).
-SIZE_STEP = 1.3
+#: Size classes are this much wider than 1 / threshold, beyond which sizes cannot differ; room for rounding.
+SIZE_ROOM = 1.04
 CACHED = 250_000
 
 
@@ -132,13 +132,13 @@ def candidate_edges(signed: DataFrame) -> DataFrame:
     return members.join(buckets.select("band", "v").hint("merge"), "band").filter("hi <> v").select(F.col("hi").alias("u"), "v").distinct()
 
 
-def _cells(nodes: DataFrame) -> DataFrame:
+def _cells(nodes: DataFrame, threshold: float) -> DataFrame:
     """Rows (cell columns, side, node) of all comparisons that can reach the threshold.
 
     A pair meets in the cell group of its component and lesser size class, where the larger class has role 1; a large
     group is cut into blocks, and each pair of blocks is one cell.
     """
-    classed = nodes.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).cast("int"))
+    classed = nodes.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_ROOM / threshold)).cast("int"))
     placed = classed.withColumn("at", F.explode(F.array(F.struct(F.col("k").alias("k"), F.lit(0).alias("role")), F.struct((F.col("k") - 1).alias("k"), F.lit(1).alias("role")))))
     placed = placed.select("component", F.col("at.k").alias("k"), F.col("at.role").alias("role"), "hi", "lo", "n", "copies", "key", "th")
     groups = placed.groupBy("component", "k").agg(F.count("*").alias("size"), F.min("role").alias("least")).filter("least = 0 and size > 1")
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     texts = signed.filter("hi is not null").groupBy("hi", "lo").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "th")).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"))
     texts = scratch.write(texts.select("hi", "lo", "n", "copies", "first.key", "first.th"))
     nodes = texts.join(candidates, texts["hi"] == candidates["node"]).drop("node")
-    cells = scratch.write(_cells(nodes))
+    cells = scratch.write(_cells(nodes, threshold))
     bodies = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(text).alias("th"), F.col(f"`{text}`").alias("t"))
     # one plan at every size: texts meet their cells by a sort-merge join
     wanted = cells.select("key", "th").distinct().hint("merge")

@@ -187,6 +187,19 @@ FROM docs LEFT JOIN kept USING (r)
 """
 
 
+@query
+def line_dedup_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 10 by maximal runs: all lines of a repeated run go, also those behind its last window of the fewest words."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_runs=True)
+
+
+# the windows forward from each line and back from each line together cover every maximal run
+ORACLES["line_dedup_whole_runs"] = ORACLES["op10_line_dedup"].replace("\n  GROUP BY a.r, a.i),", f"""
+  GROUP BY a.r, a.i
+  UNION SELECT b.r, max(a.i) AS i, b.i AS j FROM summed a JOIN summed b ON a.r = b.r AND b.i >= a.i AND b.upto >= a.upto - a.n + {line_dedup.MIN_WORDS}
+  GROUP BY b.r, b.i),""")
+
+
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark).path())
