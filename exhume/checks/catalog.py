@@ -1,6 +1,7 @@
 """All registered queries and oracles."""
 
 from exhume.checks import (  # noqa: F401
+    batches,
     carved_files,
     input_output,
     recovered_files,

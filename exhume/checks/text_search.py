@@ -177,8 +177,7 @@ counts AS (
 SELECT *, {F1} FROM (SELECT *, {PRF} FROM counts)"""
 
 
-@check("sqlite_score", SQLITE)
-def _(spark, d):
+def sqlite_frames(spark, d):
     """Every part is a keyed run, every order a positional one; the SFT05 ground truth has no such keys."""
     entries = F.map_from_entries(F.collect_list(F.struct("k", "v")))
     key = F.concat(F.lit("K-"), F.col("p_partkey").cast("string"))
@@ -207,7 +206,12 @@ def _(spark, d):
     )
     # '-win' is only reached by the prefix lookup; a closing '-' keeps P-1 from being a prefix of P-10
     listed = listed.withColumn("base_test_case", F.concat("base_test_case", F.lit("-")))
-    return sqlite.sqlite_score(keyed.unionByName(listed), gt_keyed.unionByName(gt_listed))
+    return keyed.unionByName(listed), gt_keyed.unionByName(gt_listed)
+
+
+@check("sqlite_score", SQLITE)
+def _(spark, d):
+    return sqlite.sqlite_score(*sqlite_frames(spark, d))
 
 
 SUITE_ROWS = SS + """, results AS (SELECT 'string_search' AS test_suite, base_test_case, tool_used, f1, concat(base_test_case, os, tool_used) AS row_pos FROM ss_score)"""
