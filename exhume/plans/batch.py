@@ -17,7 +17,7 @@ from exhume.operators.fingerprint import fingerprint64, image_lowfreq
 from exhume.operators.validate import dfr_reasons, gt_presence
 from exhume.plans import carving, dfr, registry, sqlite, string_search, suite
 from exhume.session import Scratch
-from exhume.sinks.results import append_results, replace_parts
+from exhume.sinks.results import SUMMARY_COUNTS, append_results, replace_parts
 from exhume.sources.inputs import read_images, read_registry_csv, read_submission_batch
 
 SCORES = ["tp", "fp", "fn", "precision", "recall", "f1"]
@@ -26,10 +26,14 @@ RUN = ["base_test_case", "tool_used"]
 
 @dataclass
 class Batch:
-    """``results``: test_suite, run_pos, base_test_case, tool_used and scores; ``rejected``: run_pos, base_test_case, tool_used, reason."""
+    """``results``: test_suite, run_pos, base_test_case, tool_used and scores; ``rejected``: run_pos, base_test_case, tool_used, reason.
+
+    ``summary``: test_suite, run_pos, base_test_case, test_case (case and tool), score and the counts of the summary that the suite has.
+    """
 
     results: DataFrame
     rejected: DataFrame
+    summary: DataFrame
 
     def report(self) -> DataFrame:
         """The result rows and the suite's mean."""
@@ -124,10 +128,10 @@ SUITES: dict[str, Callable[[SparkSession, DataFrame, DataFrame, str | None], tup
 }
 
 
-def score_batch(spark: SparkSession, path: str, task: str, gt: DataFrame, folder: str | None = None) -> Batch:
+def score_batch(spark: SparkSession, path: str | list[str], task: str, gt: DataFrame, folder: str | None = None) -> Batch:
     """Read, validate and score all runs of the batch CSV files at ``path`` against ``gt`` in the shape of the task's plan.
 
-    ``folder`` holds the files that runs name: registry listings, or carved files and originals. Both tables are written, as each is read several times.
+    ``folder`` holds the files that runs name: registry listings, or carved files and originals. The tables are written, as each is read several times.
     """
     scratch = Scratch(spark)
     rows = scratch.write(read_submission_batch(spark, path, task).withColumn("run", F.col("run_pos").cast("string")))
@@ -135,6 +139,9 @@ def score_batch(spark: SparkSession, path: str, task: str, gt: DataFrame, folder
     rows = rows.withColumn("reason", F.coalesce("reason", unnamed))
     scores, refused = SUITES[task](spark, rows.filter("reason is null").drop("reason"), gt, folder)
     names = rows.select("run", "run_pos", *RUN)
-    results = scratch.write(names.join(scores.select("run", *SCORES), "run").select(F.lit(task).alias("test_suite"), "run_pos", *RUN, *SCORES))
+    counts = {c: F.col("rec" if c == "total_submitted_files" else c.lower()).alias(c) for c in SUMMARY_COUNTS} if task == "deleted_file_recovery" else {}
+    scored = scratch.write(names.join(scores.select("run", *SCORES, *counts.values()), "run").withColumn("test_suite", F.lit(task)))
+    results = scored.select("test_suite", "run_pos", *RUN, *SCORES)
+    summary = scored.select("test_suite", "run_pos", "base_test_case", F.concat_ws("_", *RUN).alias("test_case"), F.col("f1").alias("score"), *counts)
     broken = rows.filter("reason is not null").select("run", "reason").unionByName(refused.select("run", "reason"))
-    return Batch(results, scratch.write(names.join(broken, "run").select("run_pos", *RUN, "reason")))
+    return Batch(results, scratch.write(names.join(broken, "run").select("run_pos", *RUN, "reason")), summary)

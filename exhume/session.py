@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,13 @@ def build(master: str = "local[*]", app: str = "exhume", **extra: str) -> SparkS
     return builder.getOrCreate()
 
 
+_own: ContextVar[str | None] = ContextVar("own", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where none is named, one in the warehouse, which all executors share too."""
+    if own := _own.get():
+        return own
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
@@ -51,6 +59,21 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def own_folder(spark: SparkSession) -> Iterator[str]:
+    """Staged tables of the block, of this thread only, go to one folder, which is deleted at the end of the block.
+
+    For work that repeats for as long as a stream runs: nothing of a round is left behind.
+    """
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    token = _own.set(folder)
+    try:
+        yield folder
+    finally:
+        _own.reset(token)
+        drop_folder(spark, folder)
+
+
 class Scratch:
     """Staged tables of one job, in a folder of their own below the shared one.
 

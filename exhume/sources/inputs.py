@@ -62,7 +62,7 @@ def read_ground_truth(spark: SparkSession, path: str, task: str, columns: list[s
     return gt.select(*columns) if columns else gt
 
 
-def read_submission_batch(spark: SparkSession, path: str, task: str) -> DataFrame:
+def read_submission_batch(spark: SparkSession, path: str | list[str], task: str) -> DataFrame:
     """A2: one row per run of a batch CSV, with ``run_pos``, the parsed JSON cell as ``payload`` and ``reason``.
 
     A broken row gets a reason (missing field, invalid JSON) instead of stopping the batch.
@@ -106,7 +106,7 @@ def read_submission_json(spark: SparkSession, path: str, repair_test_set: bool =
     return payloads
 
 
-def by_own_header(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+def by_own_header(spark: SparkSession, path: str | list[str], wanted: list[str]) -> DataFrame:
     """(file, pos, record, missing, wanted columns) of all CSV files below ``path``, each read by its own first record.
 
     Column order may differ from file to file; names are trimmed. A file lacking a wanted column has it null and

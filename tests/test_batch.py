@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import csv
 import json
+import os
+from pathlib import Path
 
 import pytest
 
 from exhume.plans.batch import score_batch
+from exhume.session import shared_folder
+from exhume.streaming.intake import read_summary, score_batches
 
 
 def write_csv(path, rows):
@@ -98,3 +102,87 @@ def test_carved_files_from_disk(spark, tmp_path):
     scores, rejected = outcome(score_batch(spark, path, "file_carving", gt, str(tree)))
     assert scores == {("carv-1", "t"): (1, 2, 1), ("carv-1", "u"): (2, 0, 0)}
     assert rejected == [("carv-1", "v", "empty files_json")]
+
+
+def test_one_stream_scores_every_suite_and_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """The last file to arrive is a micro-batch of its own, which then runs again."""
+    source, tree = tmp_path / "in", tmp_path / "files"
+    for place, data in {"gt/a.bmp": bitmap(1), "out/1.bmp": bitmap(1), "out/2.bmp": bitmap(9)[:3000]}.items():
+        (tree / place).parent.mkdir(parents=True, exist_ok=True)
+        (tree / place).write_bytes(data)
+    (tree / "lists").mkdir()
+    write_csv(tree / "lists/l.csv", [{"PATH": "HKLM\\a", "VALUE": "1"}])
+    search = lambda tool, lines: {"base_test_case": "FT-1", "tool_used": tool, "os": "linux", "write_db": "0", "file_contents_found": json.dumps(lines)}
+    deleted = lambda tool, files: {
+        "base_test_case": "DFR-01", "tool_used": tool, "file_system": "NTFS", "test_set": "NO_OVERWITE_TESTS", "sector_size": "512", "check_meta": "0", "write_db": "0",
+        "files_json": json.dumps([{"file_name": n, "file_size": "10", "blocks": b} for n, b in files]),
+    }
+    arrivals = {
+        "string_search/1 [a].csv": [search("t", ["x 0001"]), search("u", [])],
+        "deleted_file_recovery/d.csv": [deleted("t", [("A.TXT", "[5, 6]"), ("B.TXT", "9-9")])],
+        "deleted_file_recovery/e.csv": [deleted("u", [("A.TXT", "5-6")])],
+        "windows_registry/r.csv": [{"base_test_case": "WR-1", "tool_used": "t", "submitted_csv_path": f"{tree}/lists/l.csv", "job_id": "0", "write_db": "0"}],
+        "sqlite_recovery/s.csv": [{"base_test_case": "S-1", "tool_used": "t", "task_id": "SFT01", "file_name": "a.sqlite", "sqlite_table_name": "", "extracted_data_json": '{"page_size": 4096}'}],
+        "file_carving/c.csv": [{"base_test_case": "carv-1", "tool_used": "t", "write_db": "0", "files_json": json.dumps([f"{tree}/out/1.bmp", f"{tree}/out/2.bmp"])}],
+        "poetry/p.csv": [{"base_test_case": "P-1"}],
+        "string_search/2.csv": [search("t", ["x 0001", "x 0002"]), search("", ["x"])],
+    }
+    for at, (place, rows) in enumerate(arrivals.items()):
+        (source / place).parent.mkdir(parents=True, exist_ok=True)
+        write_csv(source / place, rows)
+        os.utime(source / place, (1e9 + at, 1e9 + at))
+    gt = {
+        "string_search": ([("FT-1", "linux", f"000{i}", "active", i) for i in (1, 2)], "base_test_case string, os string, file_line string, type string, gt_pos long"),
+        "deleted_file_recovery": (
+            [("DFR-01", "A.TXT", 10, None, None, None, "5-6", 1)],
+            "base_test_case string, file_name string, size long, modified_timestamp long, accessed_timestamp long, changed_timestamp long, dfr_blocks string, gt_pos long",
+        ),
+        "windows_registry": ([("WR-1", "HKLM\\a", v) for v in ("1", "2")], "base_test_case string, path string, value string"),
+        "sqlite_recovery": (
+            [("S-1", "a.sqlite", None, None, None, 1, {"page_size": "4096"})],
+            "base_test_case string, file_name string, sqlite_table_name string, sqlite_cmd string, file_line string, gt_pos long, attributes map<string,string>",
+        ),
+        "file_carving": ([("carv-1", "a", 1, f"{tree}/gt/a.bmp")], "base_test_case string, gt_id string, gt_pos long, path string"),
+    }
+    truth = lambda task: spark.createDataFrame(*gt[task])
+    folders = {"windows_registry": str(tree / "lists"), "file_carving": str(tree)}
+    out, mark = tmp_path / "out", tmp_path / "mark"
+
+    def run():
+        score_batches(spark, str(source), truth, str(out), str(mark), folders, len(arrivals) - 1, "test_case").awaitTermination()
+        scores = sorted((r.task, r.test_case, r.TP, r.FP, r.FN) for r in spark.read.parquet(str(out / "results")).collect())
+        rejected = sorted((r.task, r.reason) for r in spark.read.json(str(out / "rejected")).collect())
+        summary = sorted((r.test_case, round(r.score, 6), r.total_submitted_files, r.SS) for r in read_summary(spark, str(out)).collect())
+        return scores, rejected, summary
+
+    first = run()
+    assert first[0] == [
+        ("deleted_file_recovery", "DFR-01_t", 1, 1, 0), ("deleted_file_recovery", "DFR-01_u", 1, 0, 0), ("file_carving", "carv-1_t", 1, 1, 0),
+        ("sqlite_recovery", "S-1_t", 1, 0, 0), ("string_search", "FT-1_t", 1, 0, 1), ("string_search", "FT-1_t", 2, 0, 0), ("string_search", "FT-1_u", 0, 0, 2),
+        ("windows_registry", "WR-1_t", 1, 0, 1),
+    ]
+    assert first[1] == [("string_search", "missing tool_used"), ("unknown", "no task named poetry")]
+    # one row for each case and tool: FT-1_t came twice
+    assert [r[0] for r in first[2]] == ["DFR-01_t", "DFR-01_u", "FT-1_t", "FT-1_u", "S-1_t", "WR-1_t", "carv-1_t"]
+    assert [r[2] for r in first[2]] == [2, 1, 0, 0, 0, 0, 0]
+    assert ("FT-1_t", 1.0, 0, 0) in first[2]
+    assert sorted(int(p.name) for p in (mark / "commits").iterdir() if p.name.isdigit()) == [0, 1]
+    for p in ("1", ".1.crc"):  # as if the last micro-batch had failed after its tables were written
+        (mark / "commits" / p).unlink()
+    assert run() == first
+    # a file that arrives later replaces the summary of its case and tool only
+    write_csv(source / "string_search/3.csv", [search("t", ["x 0009"])])
+    later = run()
+    assert len(later[0]) == 9
+    assert [r for r in later[2] if r[0] != "FT-1_t"] == [r for r in first[2] if r[0] != "FT-1_t"] and ("FT-1_t", 0.0, 0, 0) in later[2]
+    assert sorted(p.name for p in (out / "summary").iterdir()) == ["batch=1", "batch=2"]
+
+
+def test_a_stream_of_stray_files_only(spark, tmp_path):
+    (tmp_path / "in/none").mkdir(parents=True)
+    write_csv(tmp_path / "in/none/a.csv", [{"a": "1"}])
+    before = set(Path(shared_folder(spark).removeprefix("file:")).glob("*"))
+    score_batches(spark, str(tmp_path / "in"), lambda task: None, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    assert read_summary(spark, str(tmp_path / "out")).count() == 0
+    assert [r.reason for r in spark.read.json(str(tmp_path / "out/rejected")).collect()] == ["no task named none"]
+    assert set(Path(shared_folder(spark).removeprefix("file:")).glob("*")) == before
