@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from exhume.session import stage
+
 WIDTH = 1 << 20
 
 
@@ -19,11 +21,9 @@ def _bucket(pos: str, width: int) -> Column:
     return F.floor(F.col(pos) / F.lit(width)).cast("bigint")
 
 
-def _joined_back(cut: DataFrame, summary: DataFrame, on: list[str], value: str) -> DataFrame:
-    """``cut`` with ``value`` of its bucket; a null group or position is a key like any other."""
-    named = summary.select(*[F.col(c).alias(f"_k_{c}") for c in on], value)
-    same = reduce(lambda a, b: a & b, [cut[c].eqNullSafe(named[f"_k_{c}"]) for c in on])
-    return cut.join(named, same).drop(*[f"_k_{c}" for c in on])
+def _with_heads(cut: DataFrame, heads: DataFrame) -> DataFrame:
+    """``cut`` with the summary row of a bucket before its first row (``_head``), so that one window sees both and nothing is joined back."""
+    return cut.withColumn("_head", F.lit(False)).unionByName(heads.withColumn("_head", F.lit(True)), allowMissingColumns=True)
 
 
 def rank_in_group(
@@ -31,17 +31,18 @@ def rank_in_group(
 ) -> DataFrame:
     """Exact ``row_number() over (partition by group order by pos)``; null positions come first."""
     cut = df.withColumn("_b", _bucket(pos, width))
-    inside = Window.partitionBy(*group, "_b").orderBy(pos)
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*group, "_b")
         .agg(F.count("*").alias("_n"))
-        .select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(*group, "_b", F.sum("_n").over(before).alias("_before"))
+        .filter(F.col("_before").isNotNull())
     )
+    inside = Window.partitionBy(*group, "_b").orderBy(F.desc("_head"), pos).rowsBetween(Window.unboundedPreceding, 0)
+    counted = F.sum(F.when(F.col("_head"), F.col("_before")).otherwise(1)).over(inside)
     return (
-        _joined_back(cut.withColumn("_local", F.row_number().over(inside)), offsets, [*group, "_b"], "_before")
-        .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_b", "_local", "_before")
+        _with_heads(cut, offsets).withColumn("_rank", counted.cast("bigint")).filter(~F.col("_head"))
+        .drop("_b", "_before", "_head", *([out] if out in df.columns else [])).withColumnRenamed("_rank", out)
     )
 
 
@@ -49,19 +50,35 @@ def carry_forward(
     df: DataFrame, group: list[str], pos: str, value: Column, out: str, width: int = WIDTH
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row of its group."""
-    cut = df.withColumn("_b", _bucket(pos, width)).withColumn("_v", value)
-    inside = (
-        Window.partitionBy(*group, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return carry_all(df, group, pos, {out: value}, {}, width)
+
+
+def carry_all(
+    df: DataFrame, group: list[str], pos: str, last: dict[str, Column], before: dict[str, str], width: int = WIDTH
+) -> DataFrame:
+    """``last``: the last non-null value at or before each row of its group; ``before``: the largest value of a column among the rows before it.
+
+    All of them in one pass. Of rows at one position, the smaller values of the columns in ``before`` come first.
+    """
+    cut = df.withColumn("_b", _bucket(pos, width)).withColumns({f"_l_{n}": c for n, c in last.items()})
     # null positions come first, as in the window
     place = F.struct(F.col(pos).isNotNull(), pos)
-    carried = cut.groupBy(*group, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_last"))
-    carried = carried.select(*group, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    taken = [F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), place)).alias(f"_l_{n}") for n in last]
+    taken += [F.max(c).alias(f"_m_{n}") for n, c in before.items()]
+    earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_l_{n}") for n in last]
+    carried += [F.max(f"_m_{n}").over(earlier).alias(f"_m_{n}") for n in before]
+    names = [*[f"_l_{n}" for n in last], *[f"_m_{n}" for n in before]]
+    heads = cut.groupBy(*group, "_b").agg(*taken).select(*group, "_b", *carried)
+    heads = heads.filter(reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names]))
+    inside = Window.partitionBy(*group, "_b").orderBy(F.desc("_head"), pos, *before.values())
+    upto, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumns({f"_m_{n}": F.col(c) for n, c in before.items()}) if before else cut
+    found = {f"_c_{n}": F.last(f"_l_{n}", ignorenulls=True).over(upto) for n in last} | {f"_c_{n}": F.max(f"_m_{n}").over(ahead) for n in before}
+    outs = [*last, *before]
     return (
-        _joined_back(cut.withColumn("_local", F.last("_v", ignorenulls=True).over(inside)), carried, [*group, "_b"], "_carry")
-        .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_b", "_v", "_local", "_carry")
+        _with_heads(rows, heads).withColumns(found).filter(~F.col("_head"))
+        .select(*[c for c in df.columns if c not in outs], *[F.col(f"_c_{n}").alias(n) for n in outs])
     )
 
 
@@ -103,21 +120,7 @@ def running_max_before(
     df: DataFrame, group: list[str], pos: str, value: str, out: str, width: int = WIDTH
 ) -> DataFrame:
     """Largest ``value`` among the rows before each row of its group (rows tie-broken by value)."""
-    cut = df.withColumn("_b", _bucket(pos, width))
-    inside = (
-        Window.partitionBy(*group, "_b").orderBy(pos, value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        cut.groupBy(*group, "_b")
-        .agg(F.max(value).alias("_m"))
-        .select(*group, "_b", F.max("_m").over(before).alias("_carry"))
-    )
-    return (
-        _joined_back(cut.withColumn("_local", F.max(value).over(inside)), carried, [*group, "_b"], "_carry")
-        .withColumn(out, F.greatest("_local", "_carry"))
-        .drop("_b", "_local", "_carry")
-    )
+    return carry_all(df, group, pos, {}, {out: value}, width)
 
 
 def merge_intervals(
@@ -127,9 +130,7 @@ def merge_intervals(
     bounds = df.select(*group, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
     seen = running_max_before(bounds, group, "_s", "_e", "_prior", width)
     opens = F.when(F.col("_prior").isNull() | (F.col("_s") > F.col("_prior")), F.col("_s"))
-    # equal starts share the segment of the first of them, so the carried start is well defined
-    led = carry_forward(
-        seen.withColumn("_open", opens).groupBy(*group, "_s").agg(F.max("_e").alias("_e"), F.min("_open").alias("_open")),
-        group, "_s", F.col("_open"), "lo", width,
-    )
+    # equal starts share the segment of the first of them, so the carried start is well defined; written, as the next pass reads it twice
+    starts = stage(seen.withColumn("_open", opens).groupBy(*group, "_s").agg(F.max("_e").alias("_e"), F.min("_open").alias("_open")))
+    led = carry_forward(starts, group, "_s", F.col("_open"), "lo", width)
     return led.groupBy(*group, "lo").agg(F.max("_e").alias("hi"))
