@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from exhume.functions import blocks as B
 
@@ -11,6 +14,8 @@ SECTOR = 512
 # Candidate unit sizes in bytes, most usual first (the order breaks ties).
 UNIT_SIZES = (4096, 2048, 1024, 8192, 16384, 32768, 65536, 512)
 MAX_OVER_COVERAGE = 64
+#: Numbers beyond this are left to array expressions, which report overflows.
+SMALL = 1 << 50
 
 
 def partition_table(parts: DataFrame, scope: list[str]) -> DataFrame:
@@ -101,13 +106,80 @@ def _gcd_sectors(ranges: Column) -> Column:
     )
 
 
+def _best_units(ranges: pa.Array, start: pa.Array, size: pa.Array, gcd_hint: bool) -> pa.Array:
+    """The unit size of each row of a batch; null where a row has no ranges. All rows are scored side by side, one candidate after the other."""
+    lists = ranges.fill_null([]) if ranges.null_count else ranges
+    counts = np.diff(lists.offsets.to_numpy())
+    flat, row = lists.flatten(), np.repeat(np.arange(len(counts)), counts)
+    low, high = (flat.field(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    first = start.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bytes_ = size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = len(counts)
+
+    def total(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        ends = np.concatenate([[0], np.cumsum(values)])
+        at = np.searchsorted(rows, np.arange(n + 1))
+        return ends[at[1:]] - ends[at[:-1]]
+
+    # as in merge_ranges: starts and ends sorted independently, parted where a gap follows
+    starts, ends = low[np.lexsort((low, row))], high[np.lexsort((high, row))]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (starts[1:] > ends[:-1] + 1)
+    begin = np.flatnonzero(new)
+    m_row, m_low, m_high = row[begin], starts[begin], ends[np.append(begin[1:], len(row)) - 1] if len(begin) else ends[:0]
+    again_row = np.zeros(len(m_row), bool)
+    again_row[1:] = m_row[1:] == m_row[:-1]
+    covered = total(high - low + 1, row)
+    common = np.zeros(n, np.int64)
+    some = np.flatnonzero(counts)
+    if gcd_hint and len(some):
+        common[some] = np.gcd.reduceat(high - low + 1, np.concatenate([[0], np.cumsum(counts)[:-1]])[some])
+    best, chosen = None, np.zeros(n, np.int64)
+    for rank, unit in enumerate(UNIT_SIZES):
+        spu = unit // SECTOR
+        a, b = (m_low - first[m_row]) // spu, (m_high - first[m_row]) // spu
+        again = np.zeros(len(a), np.int64)
+        again[1:] = again_row[1:] & (b[:-1] == a[1:])
+        units = total(b - a + 1 - again, m_row)
+        misaligned = total(((low - first[row]) % spu != 0).astype(np.int64), row) > 0
+        fits = (bytes_ != 0) & (units == np.where(bytes_ > 0, (bytes_ + unit - 1) // unit, 0))
+        over = np.maximum(0, units * spu - covered)
+        if gcd_hint:
+            over = np.where(common == spu, np.maximum(0, over - 1), over)
+        score = (~fits).astype(np.int64) * 2 + misaligned
+        better = np.ones(n, bool) if best is None else (score < best[0]) | ((score == best[0]) & (over < best[1]))
+        best = (score, over) if best is None else (np.where(better, score, best[0]), np.where(better, over, best[1]))
+        chosen = np.where(better, unit, chosen)
+    return pa.array(chosen, pa.int64(), mask=counts == 0)
+
+
+@F.arrow_udf(LongType())
+def _plain_fit(ranges: pa.Array, start: pa.Array, size: pa.Array) -> pa.Array:
+    return _best_units(ranges, start, size, False)
+
+
+@F.arrow_udf(LongType())
+def _gcd_fit(ranges: pa.Array, start: pa.Array, size: pa.Array) -> pa.Array:
+    return _best_units(ranges, start, size, True)
+
+
 def infer_unit_size(ranges: Column, start: Column, size: Column, gcd_hint: bool = False) -> Column:
     """The candidate unit size that fits best.
 
     Order: block count equals ceil(size / unit), starts aligned, least over-coverage, usual sizes
     first. Without a size the count never fits. ``gcd_hint`` lowers the over-coverage of the candidate
-    equal to the gcd of the run lengths by one. All candidates are scored inside the row.
+    equal to the gcd of the run lengths by one. Batches of rows are scored by a kernel on flat numbers; rows with a
+    null, a reversed range or very large numbers by array expressions.
     """
+    far = lambda c: F.coalesce(~c.between(-SMALL, SMALL), F.lit(True))
+    odd = F.exists(ranges, lambda r: far(r["s"]) | far(r["e"]) | F.coalesce(r["e"] < r["s"], F.lit(True))) | far(start) | ~F.coalesce(size, F.lit(0)).between(-SMALL, SMALL)
+    fast = _gcd_fit if gcd_hint else _plain_fit
+    wide = F.coalesce(size, F.lit(0)).cast("bigint")
+    return F.when(F.coalesce(odd, F.lit(False)), _infer_row(ranges, start, size, gcd_hint)).otherwise(fast(ranges, start.cast("bigint"), wide))
+
+
+def _infer_row(ranges: Column, start: Column, size: Column, gcd_hint: bool) -> Column:
+    """The same by array expressions inside the row."""
     zero = F.lit(0).cast("bigint")
     known = size.isNotNull() & (size != 0)
 
