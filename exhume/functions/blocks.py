@@ -101,9 +101,10 @@ def token_ranges(tokens: Column) -> Column:
     pattern = r"^\s*([0-9]+)(?:\s*-\s*([0-9]+))?\s*$"
 
     def one(t: Column) -> Column:
-        a = digits(F.regexp_extract(t, pattern, 1))
-        b = digits(F.regexp_extract(t, pattern, 2))  # null for a single number
-        return _range(F.least(a, b), F.greatest(a, b))  # both skip nulls
+        # bound step by step, as no expression is shared within a lambda; the second is empty for a single number
+        texts = F.struct(F.regexp_extract(t, pattern, 1).alias("a"), F.regexp_extract(t, pattern, 2).alias("b"))
+        numbers = let(texts, lambda x: F.struct(digits(x["a"]).alias("a"), digits(x["b"]).alias("b")))
+        return let(numbers, lambda x: _range(F.least(x["a"], x["b"]), F.greatest(x["a"], x["b"])))  # both skip nulls
 
     return F.filter(F.transform(tokens, one), lambda r: r["s"].isNotNull())
 
@@ -134,12 +135,11 @@ def block_summary(text: Column) -> Column:
     """struct(set_size, block_key, first_block, has_tokens) of a block list, parsed once.
 
     A lone number or range, the usual case, is answered by plain expressions; only longer lists
-    enter the array functions.
+    enter the array functions. A generator shares no expressions, so the numbers are bound before they are used.
     """
-    pattern = r"^\s*([0-9]{1,18})(?:-([0-9]{1,18}))?\s*$"
-    a = digits(F.regexp_extract(text, pattern, 1))
-    b = digits(F.regexp_extract(text, pattern, 2))
-    low, high = F.greatest(F.least(a, b), F.lit(1)), F.greatest(a, b)
+    pattern = r"^\s*[0-9]{1,18}(?:-[0-9]{1,18})?\s*\z"
+    # both are the whole text of a lone number; the cast passes over white space
+    numbers = F.struct(*[F.substring_index(text, "-", i).try_cast("bigint").alias(n) for i, n in ((1, "a"), (-1, "b"))])
 
     def summary(size: Column, key: Column, first: Column, tokens: Column) -> Column:
         return F.struct(
@@ -147,13 +147,16 @@ def block_summary(text: Column) -> Column:
         )
 
     nothing = F.lit(None)
-    lone = F.when(high == 0, summary(F.lit(0).cast("bigint"), nothing.cast("string"), nothing.cast("bigint"), F.lit(True))).otherwise(
-        summary(
-            high - low + 1,
-            F.when(low == high, low.cast("string")).otherwise(F.concat_ws("-", low.cast("string"), high.cast("string"))),
-            low, F.lit(True),
+    def lone(low: Column, high: Column) -> Column:
+        return F.when(high == 0, summary(F.lit(0).cast("bigint"), nothing.cast("string"), nothing.cast("bigint"), F.lit(True))).otherwise(
+            summary(
+                high - low + 1,
+                F.when(low == high, low.cast("string")).otherwise(F.concat_ws("-", low.cast("string"), high.cast("string"))),
+                low, F.lit(True),
+            )
         )
-    )
+
+    single = let(numbers, lambda x: lone(F.greatest(F.least(x["a"], x["b"]), F.lit(1)), F.greatest(x["a"], x["b"])))
     listed = let(
         token_ranges(parse_blocks(text)),
         lambda rs: let(
@@ -161,7 +164,7 @@ def block_summary(text: Column) -> Column:
         ),
     )
     empty = summary(F.lit(0).cast("bigint"), nothing.cast("string"), nothing.cast("bigint"), F.lit(False))
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", empty).when(text.rlike(pattern), lone).otherwise(listed)
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", empty).when(text.rlike(pattern), single).otherwise(listed)
 
 
 def compute_once(df, column: Column):

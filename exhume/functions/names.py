@@ -53,7 +53,8 @@ def normalize_base_name(name: Column) -> Column:
 
 def visible_name(name: Column) -> Column:
     """Base name in NFC, invisible characters gone, digits and dots in ASCII."""
-    return F.translate(normalize_base_name(name), _FROM, _TO)
+    base = base_name(name)  # nothing changes in an ASCII name
+    return F.when(_non_ascii(base), F.translate(normalize_base_name(name), _FROM, _TO)).otherwise(base)
 
 
 def name_keys(visible: Column) -> tuple[Column, Column]:

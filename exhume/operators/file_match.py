@@ -21,7 +21,8 @@ TIMES = ["modified_timestamp", "accessed_timestamp", "changed_timestamp"]
 def prepare_ground_truth(gt: DataFrame) -> DataFrame:
     """Canonical columns of ground-truth files, written once because every index reads them."""
     fat, plain = name_keys(F.col("_visible"))
-    number = lambda c: to_int(null_token(F.col(c).cast("string")))
+    whole = {n for n, kind in gt.dtypes if kind in ("bigint", "int", "smallint", "tinyint")}
+    number = lambda c: F.col(c).cast("bigint") if c in whole else to_int(null_token(F.col(c).cast("string")))
     keyed = gt.withColumn("_visible", visible_name(F.col("file_name"))).select(
         case_key(F.col("base_test_case")).alias("_case"),
         "file_name", "gt_pos", number("size").alias("size"), *[number(t).alias(t) for t in TIMES],
