@@ -226,3 +226,25 @@ def test_wide_search_beside_letters_beyond_ascii(spark):
     # the zero-byte view may meet the same letters from the zero byte before them too
     got = {(r.doc_id, r.offset) for r in found}
     assert want <= got and all((i, at) in want or (i, at + 1) in want for i, at in got)
+
+
+def test_nearest_original_deals_lists_of_one_case(spark, monkeypatch):
+    """All pairs of lists of one case are met, in several tasks; distances of many lists give the same nearest."""
+    from exhume.operators import fingerprint
+
+    monkeypatch.setattr(fingerprint, "SEGMENT", 16)
+    monkeypatch.setattr(fingerprint, "BESIDE", 3)
+    rng = random.Random(11)
+    gt = [("c", i, i, rng.randrange(-(2**63), 2**63)) for i in range(90)]
+    sub = [("c", i, gt[i][3] ^ (1 << rng.randrange(63)) if i % 2 else rng.randrange(2**40)) for i in range(70)]
+    s = spark.createDataFrame(sub, "scope string, sub_id long, hash long")
+    g = spark.createDataFrame(gt, "scope string, gt_id long, gt_pos long, hash long")
+    tiles = fingerprint._tiles(s.select("scope", "hash").distinct(), g.select("scope", "hash", F.col("gt_pos").alias("pos")), ["scope"])
+    dealt = [r["n"] for r in tiles.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(dealt) >= 20 and len(dealt) > 1
+    got = {(r["sub_id"], r["rank"]): (r["gt_id"], r["dist"]) for r in nearest_original(s, g, ["scope"], ["sub_id"], 4).collect()}
+    expected = {}
+    for _c, i, h in sub:
+        near = sorted((((h ^ x) & (2**64 - 1)).bit_count(), p, n) for _s, n, p, x in gt)[:4]
+        expected |= {(i, k): (n, d) for k, (d, _p, n) in enumerate(near, 1)}
+    assert got == expected
