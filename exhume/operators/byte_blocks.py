@@ -13,6 +13,8 @@ from exhume.operators.ordered import islands, merge_intervals
 from exhume.session import stage
 
 SEGMENT = 2048
+#: Blocks that one side has no oftener than this meet as rows, at most so many for each block of the other side.
+FEW = 4
 
 BLOCK = ["size", "hash"]
 
@@ -71,11 +73,15 @@ def block_hash_join(orig: DataFrame, carved: DataFrame, pair: list[str]) -> Data
 
 
 def _votes(orig: DataFrame, carved: DataFrame, counts: DataFrame, pair: list[str], stride: int) -> DataFrame:
-    """Votes per pair and offset. Indices of equal blocks meet in lists of at most ``SEGMENT``, whatever their number."""
+    """Votes per pair and offset. Indices of equal blocks meet as rows where a side has few of them, else in lists of at most ``SEGMENT``."""
     key = [*pair, *BLOCK]
+    few = F.least("o_blocks", "c_blocks") <= FEW
+
+    def indices(rows: DataFrame, idx: str) -> DataFrame:
+        return rows.select(*key, F.col("index").alias(idx))
 
     def segments(rows: DataFrame, idx: str, out: str) -> DataFrame:
-        listed = rows.select(*key, F.col("index").alias(idx)).join(counts.select(*key), key, "left_semi")
+        listed = indices(rows, idx).join(counts.filter(~few).select(*key), key, "left_semi")
         return (
             listed.groupBy(*key, F.floor(F.col(idx) / SEGMENT).alias("_seg"))
             .agg(F.array_sort(F.collect_list(idx)).alias(out))
@@ -91,7 +97,9 @@ def _votes(orig: DataFrame, carved: DataFrame, counts: DataFrame, pair: list[str
             lambda frames: correlate(frames, pair), f"{fields}, d bigint, votes bigint, ci bigint, oi bigint"
         )
     )
-    return met.groupBy(*pair, "d").agg(
+    rows = counts.filter(few).select(*key).join(indices(orig, "oi"), key).join(indices(carved, "ci"), key)
+    single = rows.select(*pair, (F.col("oi") - F.col("ci")).alias("d"), F.lit(1).cast("bigint").alias("votes"), "ci", "oi")
+    return met.unionByName(single).groupBy(*pair, "d").agg(
         F.sum("votes").alias("votes"), F.min(F.struct("ci", "oi")).alias("first")
     ).withColumn("offset", F.col("d") * stride)
 

@@ -248,3 +248,22 @@ def test_nearest_original_deals_lists_of_one_case(spark, monkeypatch):
         near = sorted((((h ^ x) & (2**64 - 1)).bit_count(), p, n) for _s, n, p, x in gt)[:4]
         expected |= {(i, k): (n, d) for k, (d, _p, n) in enumerate(near, 1)}
     assert got == expected
+
+
+def test_rare_blocks_vote_without_lists(spark, monkeypatch):
+    """Blocks that a side has few of are counted as rows; no list of them goes to the kernel."""
+    def refuse(frames, keys):
+        for _ in frames:
+            raise AssertionError("a list for a rare block")
+        yield from ()
+
+    rng = random.Random(6)
+    texts = {p: "".join(rng.sample("abcdefghijklmnop", 16)) for p in range(4)}
+
+    def cut(shift):
+        rows = [(p, bytearray("".join(x * 4 for x in t[shift:]).encode())) for p, t in texts.items()]
+        return byte_blocks.byte_blocks(spark.createDataFrame(rows, "pair int, content binary"), ["pair"], block_size=4)
+
+    monkeypatch.setattr(byte_blocks, "correlate", refuse)
+    got = {tuple(r) for r in byte_blocks.alignment_vote(cut(0), cut(3), ["pair"], 4).collect()}
+    assert got == {(p, 12, 13, 13) for p in texts}
