@@ -80,7 +80,9 @@ def _(spark, d):
 def _(spark, d):
     """A file tree with one text file per supplier."""
     path = fresh(spark, "tree")
-    view(spark, d, "supplier").select("s_suppkey", "s_name").repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    # a number of tasks is named: by their few bytes all rows would go to one task, which makes a file for each
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    view(spark, d, "supplier").select("s_suppkey", "s_name").repartition(tasks, "s_suppkey").write.partitionBy("s_suppkey").text(path)
     found = A.file_manifest(spark, path)
     return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size_bytes", "mime", "sha256")
 

@@ -186,3 +186,16 @@ def test_a_stream_of_stray_files_only(spark, tmp_path):
     assert read_summary(spark, str(tmp_path / "out")).count() == 0
     assert [r.reason for r in spark.read.json(str(tmp_path / "out/rejected")).collect()] == ["no task named none"]
     assert set(Path(shared_folder(spark).removeprefix("file:")).glob("*")) == before
+
+
+def test_file_tree_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from exhume.checks import input_output
+    from exhume.checks.fixtures import QUERIES
+
+    rows = [(k, f"Supplier#{k}") for k in range(1, 41)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(input_output, "fresh", lambda spark, name: str(tmp_path / name))
+    got = {(r.folder, r.size_bytes) for r in QUERIES["file_manifest"](spark, str(tmp_path)).collect()}
+    assert got == {(f"s_suppkey={k}", len(name) + 1) for k, name in rows}
+    files = list((tmp_path / "tree").glob("s_suppkey=*/part-*"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
