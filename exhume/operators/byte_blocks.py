@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exhume.functions.blocks import let
@@ -97,7 +97,10 @@ def _votes(orig: DataFrame, carved: DataFrame, counts: DataFrame, pair: list[str
             lambda frames: correlate(frames, pair), f"{fields}, d bigint, votes bigint, ci bigint, oi bigint"
         )
     )
-    rows = counts.filter(few).select(*key).join(indices(orig, "oi"), key).join(indices(carved, "ci"), key)
+    # an original given twice has one vote, as in the lists; the window is dealt and sorted like the join
+    before = F.lag("oi").over(Window.partitionBy(*key).orderBy("oi"))
+    once = indices(orig, "oi").withColumn("_again", F.coalesce(before == F.col("oi"), F.lit(False))).filter(~F.col("_again")).drop("_again")
+    rows = counts.filter(few).select(*key).join(once, key).join(indices(carved, "ci"), key)
     single = rows.select(*pair, (F.col("oi") - F.col("ci")).alias("d"), F.lit(1).cast("bigint").alias("votes"), "ci", "oi")
     return met.unionByName(single).groupBy(*pair, "d").agg(
         F.sum("votes").alias("votes"), F.min(F.struct("ci", "oi")).alias("first")

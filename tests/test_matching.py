@@ -267,3 +267,11 @@ def test_rare_blocks_vote_without_lists(spark, monkeypatch):
     monkeypatch.setattr(byte_blocks, "correlate", refuse)
     got = {tuple(r) for r in byte_blocks.alignment_vote(cut(0), cut(3), ["pair"], 4).collect()}
     assert got == {(p, 12, 13, 13) for p in texts}
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_a_file_given_twice_votes_alike_as_rows_and_lists(spark, monkeypatch, few):
+    monkeypatch.setattr(byte_blocks, "FEW", few)
+    rows = [(1, bytearray(b"aaaabbbbcccc"))] * 2
+    cut = byte_blocks.byte_blocks(spark.createDataFrame(rows, "pair int, content binary"), ["pair"], block_size=4)
+    assert [tuple(r) for r in byte_blocks.alignment_vote(cut, cut, ["pair"], 4).collect()] == [(1, 0, 6, 12)]
