@@ -12,8 +12,9 @@ from exhume.functions import blocks as B
 from exhume.functions.names import visible_name
 from exhume.operators import assign, contains, sectors
 from exhume.operators.assign import assign_unique
-from exhume.operators.ground_truth import gt_prefix
+from exhume.operators.ground_truth import cases_with_prefix, gt_prefix
 from exhume.operators.ordered import carry_all, merge_intervals, rank_in_group
+from exhume.plans.sqlite import sqlite_score
 from exhume.session import Scratch
 from exhume.sinks.results import write_reports
 
@@ -169,3 +170,33 @@ def test_submissions_without_key_are_not_ranked(spark, monkeypatch):
     got = {r.sub_pos: (r.key, r.mapped) for r in assign_unique(sub, gt, ["run"], []).collect()}
     assert got == {i: ("\u0000", None) if i % 2 else ("k", f"f{i // 2}" if i < 12 else None) for i in range(20)}
     assert max(df.count() for df in ranked) == 10
+
+
+def test_sqlite_score_evaluates_its_inputs_once(spark):
+    """Both tables are read by several steps; what makes them must run once for each row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(value):
+        seen.add(1)
+        return value
+
+    counted = F.udf(note, "string")
+    runs = spark.createDataFrame(
+        [("r1", "SFT01", "S-1", "a.db", None, {"k": "1"}, None), ("r2", "SFT05", "S", "a.db", None, {"base_test_case": "S-1"}, None), ("r3", "SFT03", "S-2", "b.db", None, None, ["x", "y"])],
+        "run_id string, task_id string, base_test_case string, file_name string, sqlite_table_name string, attributes map<string,string>, file_lines array<string>",
+    ).withColumn("base_test_case", counted("base_test_case"))
+    gt = spark.createDataFrame(
+        [("S-1", "a.db", None, None, None, 1, {"k": "1.0"}), ("S-2-win", "b.db", None, None, "x", 2, None), ("S-2-win", "b.db", None, None, "z", 3, None)],
+        "base_test_case string, file_name string, sqlite_table_name string, sqlite_cmd string, file_line string, gt_pos long, attributes map<string,string>",
+    ).withColumn("file_name", counted("file_name"))
+    got = {r.run_id: (r.tp, r.fp) for r in sqlite_score(runs, gt).collect()}
+    assert got == {"r1": (1, 0), "r2": (1, 0), "r3": (1, 1)}
+    assert seen.value == 6
+
+
+def test_cases_have_only_prefixes_of_asked_lengths(spark):
+    gt = spark.createDataFrame([("Case-1",), ("Case-12 ",), ("x",), ("",), (None,)], "base_test_case string")
+    runs = spark.createDataFrame([("CASE-1",), ("case",), ("",), (None,), ("y",)], "base_test_case string")
+    found = cases_with_prefix(gt, runs)
+    assert sorted((r.asked, r._case) for r in found.collect()) == [("case", "case-1"), ("case", "case-12"), ("case-1", "case-1"), ("case-1", "case-12")]
+    assert cases_with_prefix(gt, runs.limit(0)).count() == 0
