@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from exhume.functions import blocks as B
 
@@ -32,11 +32,58 @@ def _holding(parts: Column, sector: Column) -> Column:
     return F.get(F.filter(parts, lambda p: (p["start"] <= sector) & (sector <= p["end"])), F.lit(0))["name"]
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _touched(ranges: pa.Array, starts: pa.Array, ends: pa.Array, names: pa.Array) -> pa.Array:
+    """The names that a row's ranges touch, as numbers out of ``names``; null for rows with a null or a very large number in a range.
+
+    Partitions are in start order, so the first one whose end, or an earlier one's, reaches a sector is the only candidate: bisection finds it,
+    for all ranges of a batch side by side.
+    """
+    lists, low, high, named = (x.fill_null([]) if x.null_count else x for x in (ranges, starts, ends, names))
+    counts, sizes = np.diff(lists.offsets.to_numpy()), np.diff(low.offsets.to_numpy())
+    flat, row, n = lists.flatten(), np.repeat(np.arange(len(counts)), counts), len(counts)
+    limits = np.iinfo(np.int64)
+    whole = lambda x, missing: x.fill_null(missing).to_numpy(zero_copy_only=False).astype(np.int64)
+    s, e = (whole(flat.field(i), limits.max) for i in (0, 1))
+    far = (s < -SMALL) | (s > SMALL) | (e < -SMALL) | (e > SMALL)
+    odd = np.bincount(row[far], minlength=n) > 0
+    s, e = np.where(far, 0, s), np.where(far, 0, e)
+    begin, reach, number = whole(low.flatten(), limits.max), whole(high.flatten(), limits.min), whole(named.flatten(), -1)
+    reach = np.where(begin == limits.max, limits.min, reach)  # one without a start holds nothing, and stands before the others
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    # the largest end so far in each row, by steps of 1, 2, 4, ...
+    inside, step = np.arange(len(reach)) - np.repeat(base[:-1], sizes), 1
+    while len(reach) and step <= inside.max():
+        reach = np.where(inside >= step, np.maximum(reach, np.concatenate([reach[:step], reach[:-step]])), reach)
+        step *= 2
+
+    def name(x: np.ndarray) -> np.ndarray:
+        at, stop = base[row], base[row + 1]
+        end, last = stop, len(reach) - 1
+        if last < 0:
+            return np.full(len(x), -1)
+        while (at < stop).any():
+            middle = np.minimum((at + stop) // 2, last)
+            short = reach[middle] < x
+            at, stop = np.where((at < stop) & short, middle + 1, at), np.where((at < stop) & ~short, middle, stop)
+        place = np.minimum(at, last)
+        return np.where((at < end) & (begin[place] <= x), number[place], -1)
+
+    a, b = name(s), name(e)
+    middle = np.where((a == b) & (a >= 0), -1, name((s + e) // 2))
+    found = np.concatenate([a, b, middle])
+    width = int(sizes.max(initial=0)) + 1
+    codes = np.unique((np.tile(row, 3) * width + found)[found >= 0])
+    offsets = np.searchsorted(codes // width, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((codes % width).astype(np.int32)), mask=pa.array(odd))
+
+
 def sector_to_partition(files: DataFrame, parts: DataFrame, scope: list[str], ranges: str = "ranges") -> DataFrame:
     """Add ``partitions`` (sorted, ``|``-joined) and ``status`` to files with sector ranges.
 
     A range with both ends in one partition lies there; otherwise its start, end and middle are
-    looked up. A partition lying between the probes is not seen.
+    looked up. A partition lying between the probes is not seen. Batches of rows are looked up by a kernel;
+    rows with a null or very large numbers by array expressions.
     """
     table = F.col("parts")
 
@@ -48,12 +95,18 @@ def sector_to_partition(files: DataFrame, parts: DataFrame, scope: list[str], ra
             ),
         )
 
-    names = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(ranges, touched)))))
-    joined = files.join(partition_table(parts, scope), scope, "left").withColumn(
-        "_names", F.coalesce(names, F.array().cast("array<string>"))
+    by_row = F.array_distinct(F.array_compact(F.flatten(F.transform(ranges, touched))))
+    # a name's number is its first place in the image's list
+    numbers = F.transform("parts.name", lambda n: (F.array_position("parts.name", n) - 1).cast("int"))
+    images = partition_table(parts, scope).withColumns(
+        {"_starts": F.col("parts.start").cast("array<bigint>"), "_ends": F.col("parts.end").cast("array<bigint>"), "_numbers": numbers}
     )
+    joined = files.join(images, scope, "left").withColumn("_touched", _touched(ranges, "_starts", "_ends", "_numbers"))
+    by_kernel = F.transform("_touched", lambda i: F.get(table, i)["name"])
+    names = F.array_sort(F.when(F.col("_touched").isNull(), by_row).otherwise(by_kernel))
+    joined = joined.withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
     status = F.when(F.size("_names") == 0, "NO_MATCH").when(F.size("_names") == 1, "OK").otherwise("CROSSES_PARTITIONS")
-    return joined.withColumn("partitions", F.array_join("_names", "|")).withColumn("status", status).drop("parts", "_names")
+    return joined.withColumn("partitions", F.array_join("_names", "|")).withColumn("status", status).drop("parts", "_names", "_touched", "_starts", "_ends", "_numbers")
 
 
 def pick_partition(files: DataFrame, parts: DataFrame, scope: list[str], ranges: str = "ranges") -> DataFrame:

@@ -200,3 +200,32 @@ def test_cases_have_only_prefixes_of_asked_lengths(spark):
     found = cases_with_prefix(gt, runs)
     assert sorted((r.asked, r._case) for r in found.collect()) == [("case", "case-1"), ("case", "case-12"), ("case-1", "case-1"), ("case-1", "case-12")]
     assert cases_with_prefix(gt, runs.limit(0)).count() == 0
+
+
+def test_sectors_meet_partitions_as_in_plain_python(spark):
+    """Overlapping, unsorted and null partitions, images without any; the array expressions are for odd rows only."""
+    random.seed(11)
+    big = 1 << 55
+    some = lambda: random.choice([None, *range(0, 120, 3)])
+    parts = [(random.choice("abc"), some(), some(), random.choice(["p", "q", "r", "s", None])) for _ in range(40)] + [("a", big, big + 9, "far")]
+    files = []
+    for i in range(300):
+        spans = [(lo := random.randrange(-5, 125), lo + random.randrange(60)) for _ in range(random.randrange(4))]
+        files.append((i, random.choice(["a", "b", "c", "none", None]), random.choice([None, spans, spans, spans])))
+    files += [(900, "a", [(big + 1, big + 2)]), (901, "a", [(None, 5), (7, None)])]
+    frame = spark.createDataFrame(files, "id int, image string, ranges array<struct<s:bigint,e:bigint>>")
+    table = spark.createDataFrame(parts, "image string, start bigint, end bigint, name string")
+    made = sectors.sector_to_partition(frame, table, ["image"])
+    got = {r.id: (r.partitions, r.status) for r in made.collect()}
+    assert made.columns == ["image", "id", "ranges", "partitions", "status"]
+    assert "ArrowEvalPython" in made._jdf.queryExecution().optimizedPlan().toString()
+    first = lambda v: (v is not None, v if v is not None else 0)
+    for i, image, ranges in files:
+        known = sorted((p[1:] for p in parts if p[0] == image), key=lambda p: (first(p[0]), first(p[1]), (p[2] is not None, p[2] or "")))
+        hold = lambda x: next((n for a, b, n in known if None not in (a, b, x) and a <= x <= b), None)
+        names = set()
+        for s, e in ranges or []:
+            a, b = hold(s), hold(e)
+            names |= {a} if a is not None and a == b else {a, b, hold((s + e) // 2 if None not in (s, e) else None)}
+        want = sorted(names - {None})
+        assert got[i] == ("|".join(want), ["NO_MATCH", "OK", "CROSSES_PARTITIONS"][min(2, len(want))]), (i, ranges)
