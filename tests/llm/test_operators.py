@@ -580,3 +580,36 @@ def test_record_format():
     with pytest.raises(ValueError):
         warc.parse(data.replace(b"abc\r\n\r\n", b"abd\r\n\r\n"))
     assert struct.unpack("<I", brute_ids("", 1))[0] == 1
+
+
+def test_notices_that_a_host_repeats_inside_articles_go(spark):
+    import random
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice = "We use small files on this site , accept them all to go on"
+    page = lambda *inner: "<html><body><nav>Home</nav><article>" + "".join(f"<p>{x}</p>" for x in inner) + "</article></body></html>"
+    rows, want = [], {}
+
+    def add(host, blocks, kept):
+        n = len(rows)
+        rows.append((n, f"http://{host}/{n}", page(*blocks)))
+        want[n] = "\n".join(kept)
+
+    for _ in range(6):  # the notice with its heading, in the midst of stories
+        a, b = prose(30), prose(20)
+        add("news", [a, "Notice", notice, b], [a, b])
+    quoted = prose(12)
+    for i in range(9):  # what a third of the pages quote stays, and so does a notice with words of its own
+        a = prose(25)
+        inner = [a, quoted] if i < 3 else [a, f"{notice} {prose(2)}"]
+        add("quotes", inner, inner)
+    same = [prose(40), prose(15)]
+    for i in range(5):  # near copies of one story, and copies of a page
+        add("mirror", [*same, f"printed {i}"], [*same, f"printed {i}"])
+        add("copy", same, same)
+    for _ in range(2):  # too few pages to tell
+        a = prose(20)
+        add("small", [a, notice], [a, notice])
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
