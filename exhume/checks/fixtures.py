@@ -7,6 +7,7 @@ ground truth with some *values* changed, never a subset of rows. ``view`` gives
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,14 +180,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as DataFrame; the tables it names are read from ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view as DataFrame; the tables it names are read from ``sf_dir``, and views it is made of from ``made`` where they are written already."""
     if name in TABLES:
         return table(spark, sf_dir, name)
-    ctes = ",\n".join(f"{n} AS ({_text(n, _SPARK)})" for n in _order((name,)))
+    made = made or {}
+    ctes = ",\n".join(f"{n} AS ({_text(n, _SPARK)})" for n in _order((name,)) if n not in made)
     sql = f"WITH {ctes} SELECT * FROM {name}"
     for t in TABLES:
         sql = sql.replace(f"FROM {t}", f"FROM parquet.`{sf_dir}/{t}.parquet`")
+    for n, rows in made.items():
+        written = f"{n}_{uuid.uuid4().hex}"
+        rows.createOrReplaceTempView(written)
+        sql = sql.replace(f"FROM {n}", f"FROM {written}")
     return spark.sql(sql)
 
 

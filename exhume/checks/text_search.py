@@ -9,6 +9,7 @@ from exhume.functions.text import case_key, line_id, norm_type
 from exhume.functions.values import value_matches
 from exhume.operators.ground_truth import gt_deleted, gt_exact, gt_prefix
 from exhume.plans import registry, sqlite, string_search, suite
+from exhume.session import stage
 
 PRF = """
   CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
@@ -190,7 +191,9 @@ def sqlite_frames(spark, d):
         F.lit(None).cast("array<string>").alias("file_lines"),
     )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "predicted"))), lambda p: p["predicted"])
-    listed = view(spark, d, "pos_sub").groupBy("l_orderkey").agg(lines.alias("file_lines")).select(
+    # three reads of one numbering; written, so that the rows are sorted once
+    numbered = {"dfr_files": stage(view(spark, d, "dfr_files").select("l_orderkey", "rn", "l_quantity", "l_returnflag", "l_linenumber"))}
+    listed = view(spark, d, "pos_sub", numbered).groupBy("l_orderkey").agg(lines.alias("file_lines")).select(
         order.alias("run_id"), F.lit("SFT03").alias("task_id"), order.alias("base_test_case"),
         F.lit("b.sqlite").alias("file_name"), none.alias("sqlite_table_name"),
         F.lit(None).cast("map<string,string>").alias("attributes"), "file_lines",
@@ -199,7 +202,7 @@ def sqlite_frames(spark, d):
         F.col("p_partkey").alias("gt_pos"), key.alias("base_test_case"), F.lit("A.sqlite").alias("file_name"),
         F.lit("t").alias("sqlite_table_name"), none.alias("sqlite_cmd"), none.alias("file_line"), "attributes",
     )
-    gt_listed = view(spark, d, "pos_gt").select(
+    gt_listed = view(spark, d, "pos_gt", numbered).select(
         "gt_pos", F.concat(order, F.lit("-win")).alias("base_test_case"), F.lit("b.sqlite").alias("file_name"),
         none.alias("sqlite_table_name"), none.alias("sqlite_cmd"), "file_line",
         F.lit(None).cast("map<string,string>").alias("attributes"),
