@@ -13,6 +13,7 @@ from exhume.operators import byte_compare as BC
 from exhume.operators.fingerprint import fingerprint64, image_lowfreq, nearest_original, select_original
 from exhume.operators.ordered import islands, merge_intervals
 from exhume.plans import carving
+from exhume.session import stage
 
 BLOCK = 64  # shift of the second carved variant, so that its blocks line up again
 HEX = "(strpos('0123456789ABCDEF', substr({0}, 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr({0}, 2, 1)) - 1"
@@ -70,6 +71,12 @@ def blocks(spark, d):
     return BB.byte_blocks(orig, ["pair"], block_size=BLOCK), BB.byte_blocks(carved, ["pair"], block_size=BLOCK)
 
 
+def voted(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of both sides, and their votes; each is read several times and therefore written once."""
+    o, c = (stage(BB.named_blocks(x, ["pair"])) for x in blocks(spark, d))
+    return o, c, stage(BB.alignment_vote(o, c, ["pair"], BLOCK))
+
+
 @check("byte_blocks", DOCS + """ SELECT pair, idx AS "index", off AS "offset", length(h) // 2 AS size, upper(sha256(unhex(h))) AS hash FROM oblk""")
 def _(spark, d):
     return blocks(spark, d)[0].withColumn("hash", F.hex("hash"))
@@ -83,7 +90,7 @@ def _(spark, d):
 
 @check("alignment_vote", DOCS + """ SELECT vote.*, k.n AS candidates FROM vote JOIN (SELECT pair, count(*) AS n FROM cand GROUP BY pair) k USING (pair)""")
 def _(spark, d):
-    return BB.alignment_vote(*blocks(spark, d), ["pair"], BLOCK)
+    return voted(spark, d)[2]
 
 
 @check("aligned_match_stats", DOCS + f" SELECT *, {RATES} FROM stats")
@@ -95,8 +102,7 @@ def _(spark, d):
 
 @check("longest_block_run", DOCS + " SELECT * FROM runs")
 def _(spark, d):
-    o, c = blocks(spark, d)
-    aligned = BB.aligned_matches(o, c, BB.alignment_vote(o, c, ["pair"], BLOCK), ["pair"])
+    aligned = BB.aligned_matches(*voted(spark, d), ["pair"])
     return islands(aligned, ["pair"], "c_index", width=16).groupBy("pair").agg(
         F.max(F.col("hi") - F.col("lo") + 1).alias("longest_run_blocks")
     )
@@ -125,7 +131,7 @@ def _(spark, d):
 @check("byte_compare_aligned", DOCS + """ SELECT compared.* FROM compared JOIN stats USING (pair, "offset")""")
 def _(spark, d):
     orig, carved = sides(spark, d)
-    vote = BB.alignment_vote(*blocks(spark, d), ["pair"], BLOCK).select("pair", "offset")
+    vote = voted(spark, d)[2].select("pair", "offset")
     shifted = lambda df: df.join(vote, "pair", "left").fillna(0, ["offset"])
     return BC.byte_compare(shifted(orig), shifted(carved), ["pair", "offset"])
 
@@ -133,7 +139,7 @@ def _(spark, d):
 @check("bit_error_rate", DOCS + """ SELECT pair, diff_bits, 8 * overlap AS total_bits, bit_error_rate FROM compared JOIN stats USING (pair, "offset")""")
 def _(spark, d):
     orig, carved = sides(spark, d)
-    vote = BB.alignment_vote(*blocks(spark, d), ["pair"], BLOCK).select("pair", "offset")
+    vote = voted(spark, d)[2].select("pair", "offset")
     shifted = lambda df: df.join(vote, "pair", "left").fillna(0, ["offset"])
     return BC.byte_compare(shifted(orig), shifted(carved), ["pair", "offset"]).select(
         "pair", "diff_bits", (8 * F.col("overlap")).alias("total_bits"), "bit_error_rate"
