@@ -12,6 +12,7 @@ from exhume.operators import contains as C
 from exhume.operators import records as R
 from exhume.operators import reports as P
 from exhume.operators.raw_search import keyword_search_raw
+from exhume.session import stage
 
 
 @check("to_epoch", """SELECT o_orderkey, CASE o_orderkey % 9
@@ -73,7 +74,8 @@ SELECT l_orderkey, count(DISTINCT n) AS n_blocks, min(n) AS first_block, max(n)
 @check("parse_block_section", SECTION)
 def _(spark, d):
     """One report per order: header or data attribute, one block line per item, then unrelated lines."""
-    files = view(spark, d, "dfr_files")
+    # written, as its lines are read several times, and numbering the rows sorts the whole table
+    files = stage(view(spark, d, "dfr_files").select("l_orderkey", "rn", "l_partkey", "l_quantity"))
     numbers = F.concat(F.col("l_partkey").cast("string"), F.lit("-"), (F.col("l_partkey") + F.col("l_quantity").cast("bigint") % 8).cast("string"))
     body = files.select("l_orderkey", (F.col("rn") + 1).cast("bigint").alias("line_no"), numbers.alias("line"))
     head = F.when(F.col("l_orderkey") % 2 == 0, "Direct Blocks:").otherwise("Type: $DATA (128-3)   Name: N/A   Non-Resident   size: 7777")
